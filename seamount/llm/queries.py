@@ -4,14 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, line_crf, mixing
 from .common import table
 from .near_dedup import near_duplicates
+from .token_huffman import encode_documents
+
+
+def tokenizer_path() -> str:
+    """The place of the public byte-level BPE file on this machine; all machines of a cluster have it installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_minhash_near_dedup,)}
+def op8_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return line_crf.score(documents, line_crf.train(documents, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_huffman_token_ids, op2_benchmark_decontamination, op7_minhash_near_dedup, op8_mix_to_weights, op9_line_crf_quality)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.SQL, "op8_mix_to_weights": mixing.SQL}
