@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_crf, mixing
+from . import decontaminate, license_scan, line_crf, mixing, warc_store
 from .common import table
 from .near_dedup import near_duplicates
 from .token_huffman import encode_documents
@@ -41,3 +41,15 @@ def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_huffman_token_ids, op2_benchmark_decontamination, op7_minhash_near_dedup, op8_mix_to_weights, op9_line_crf_quality)}
 
 SQL: dict[str, str] = {"op2_benchmark_decontamination": decontaminate.SQL, "op8_mix_to_weights": mixing.SQL}
+
+
+def op4_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.read_archive(*warc_store.write_archive(table(spark, sf_dir, "pages")))
+
+
+QUERIES |= {f.__name__: f for f in (op4_license_sentences, op5_content_addressed_warc)}
+SQL |= {"op4_license_sentences": license_scan.SQL, "op5_content_addressed_warc": warc_store.SQL}
