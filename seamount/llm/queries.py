@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_crf, mixing, warc_store
+from . import decontaminate, license_scan, line_crf, mixing, tiff, warc_store
 from .common import table
 from .near_dedup import near_duplicates
 from .token_huffman import encode_documents
@@ -53,3 +53,10 @@ def op5_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (op4_license_sentences, op5_content_addressed_warc)}
 SQL |= {"op4_license_sentences": license_scan.SQL, "op5_content_addressed_warc": warc_store.SQL}
+
+
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.read_texts(tiff.store_texts(table(spark, sf_dir, "documents")))
+
+
+QUERIES |= {f.__name__: f for f in (op3_tiff_media,)}
