@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_crf, mixing, tiff, warc_store
+from . import decontaminate, license_scan, line_crf, masked_lm, mixing, tiff, warc_store
 from .common import table
 from .near_dedup import near_duplicates
 from .token_huffman import encode_documents
@@ -60,3 +60,10 @@ def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op3_tiff_media,)}
+
+
+def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op10_masked_likelihood,)}
