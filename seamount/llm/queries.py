@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_crf, masked_lm, mixing, tiff, warc_store
+from . import decontaminate, html_labeller, license_scan, line_crf, masked_lm, mixing, tiff, warc_store
 from .common import table
 from .near_dedup import near_duplicates
 from .token_huffman import encode_documents
@@ -67,3 +67,10 @@ def op10_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op10_masked_likelihood,)}
+
+
+def op6_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_labeller.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {f.__name__: f for f in (op6_block_labeller,)}
