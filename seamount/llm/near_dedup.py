@@ -6,9 +6,11 @@ an empty set and are linked with nothing. Shingles are 64-bit hashes, sets are n
 
 The work is done on *classes*: documents with equal sets are one class, however many there are, so exact
 copies never meet in a bucket. In each bucket a pivot (the least class) is compared with every other member:
-linear work. Only in buckets whose members then still lie in different components, blocks of members are
-compared by signature inside a task, and only pairs across components whose signature admits the threshold go
-on to verification on the full sets. No bucket is capped and no member is dropped.
+linear work. Only in buckets whose members then still lie in different components, blocks of members meet in
+a task. It compares signatures, each pair only in the first bucket that it shares, and verifies on the full
+sets those pairs across components whose signatures admit the threshold, the most alike first; what the links
+found so far connect is passed over. Only links leave the task, fewer than it has members. No bucket is capped
+and no member is dropped.
 
 Nulls: a null ``doc_id`` keeps its class but is no candidate for ``component_id`` (null if nothing else is
 reachable). Repeated rows each give a row. Extra columns are ignored.
@@ -21,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, slices, texts
@@ -31,7 +34,7 @@ HASHES = 128
 ROWS = 4  #: minima in a band; HASHES / ROWS bands
 SHINGLE = 4
 #: In the second round, members of a bucket are compared in blocks of so many.
-BLOCK = 256
+BLOCK = 512
 #: A pair goes on to verification if its signatures agree in a share that is so far below the threshold at
 #: most: five standard deviations of 128 minima at a similarity of 0.8.
 SLACK = 0.177
@@ -81,7 +84,7 @@ def _signatures(hashes: int, rows: int, k: int):
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     if len(s):
                         m = minima(s, a, b)
-                        sigs.append(m.tobytes())
+                        sigs.append(m.astype(np.uint8).tobytes())  # the low bytes: enough to compare
                         bands.append([xxhash.xxh64_intdigest(m[i : i + rows].tobytes(), i) - (1 << 63) for i in range(0, hashes, rows)])
                     else:
                         sigs.append(None)
@@ -100,48 +103,128 @@ def _sets(k: int):
             for batch in slices(whole):
                 sets = [shingle_hashes(t, k) for t in texts(batch)]
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "items"])
 
     return run
 
 
-def _across(threshold: float):
-    """Pairs of two blocks of a bucket (or within one) in different components whose signatures admit the threshold."""
+def _candidates(left: list[dict], right: list[dict], same: bool, band: int, rows: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (left, right) and their agreement: across components, admitted, and not met in an earlier band."""
+    ls = np.frombuffer(b"".join(x["sig"] for x in left), np.uint8).reshape(len(left), -1)
+    rs = ls if same else np.frombuffer(b"".join(x["sig"] for x in right), np.uint8).reshape(len(right), -1)
+    names = {c: i for i, c in enumerate({x["comp"] for x in left} | {x["comp"] for x in right})}
+    lc, rc = (np.array([names[x["comp"]] for x in side]) for side in (left, right))
+    found = []
+    for i, row in enumerate(ls):
+        first = i + 1 if same else 0
+        near = np.flatnonzero(rc[first:] != lc[i]) + first
+        if len(near):
+            equal = rs[near] == row
+            alike = equal.mean(axis=1)
+            near, equal, alike = (x[alike >= threshold] for x in (near, equal, alike))
+            if len(near) and band:
+                fresh = ~equal[:, : band * rows].reshape(len(near), band, rows).all(axis=2).any(axis=1)
+                near, alike = near[fresh], alike[fresh]
+            found.append((np.full(len(near), i), near, alike))
+    if not found:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _sides(r: dict) -> tuple[list[dict], list[dict], bool]:
+    same = r["i"] == r["j"]
+    left = [x for x in r["members"] if x["block"] == r["i"]]
+    return left, left if same else [x for x in r["members"] if x["block"] == r["j"]], same
+
+
+CELL = "band bigint, at int, i bigint, j bigint"
+
+
+def _open(rows: int, threshold: float):
+    """The members of each pair of blocks that stand in a candidate pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                left, right, same = _sides(r)
+                a, b, _ = _candidates(left, right, same, r["at"], rows, threshold)
+                for x in [left[i] for i in set(a.tolist()) | (set(b.tolist()) if same else set())] + ([] if same else [right[i] for i in set(b.tolist())]):
+                    out.append((r["band"], r["at"], r["i"], r["j"], x["key"], x["comp"], x["block"], x["sig"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], k) for n, k in enumerate(kinds)], ["band", "at", "i", "j", "key", "comp", "block", "sig"])
+
+    return run
+
+
+def _links(rows: int, threshold: float, percent: int):
+    """Verified links between components, as many as connect what is linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             src, dst = [], []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                ls = np.frombuffer(b"".join(x["sig"] for x in left), np.uint32).reshape(len(left), -1)
-                rs = np.frombuffer(b"".join(x["sig"] for x in right), np.uint32).reshape(len(right), -1)
-                names = {c: i for i, c in enumerate({x["comp"] for x in left} | {x["comp"] for x in right})}
-                lc, rc = (np.array([names[x["comp"]] for x in side]) for side in (left, right))
-                for i, row in enumerate(ls):
-                    near = ((rs == row).mean(axis=1) >= threshold) & (rc != lc[i])
-                    for j in np.flatnonzero(near):
-                        p, q = left[i]["key"], right[j]["key"]
-                        src.append(min(p, q))
-                        dst.append(max(p, q))
+            for row in range(len(batch)):
+                (r,) = batch.slice(row, 1).to_pylist()
+                left, right, same = _sides(r)
+                sets = {id(x): np.frombuffer(x["items"], np.uint64) for x in r["members"]}
+                parent: dict[bytes, bytes] = {}
+
+                def root(x):
+                    while parent.get(x, x) != x:
+                        parent[x] = parent.get(parent[x], parent[x])
+                        x = parent[x]
+                    return x
+
+                a, b, alike = _candidates(left, right, same, r["at"], rows, threshold)
+                for k in np.argsort(-alike, kind="stable"):
+                    x, y = left[a[k]], right[b[k]]
+                    p, q = root(x["comp"]), root(y["comp"])
+                    if p == q:
+                        continue
+                    s, t = sets[id(x)], sets[id(y)]
+                    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                        continue
+                    at = np.searchsorted(t, s)
+                    common = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+                    if 100 * common >= percent * (len(s) + len(t) - common):
+                        parent[p] = q
+                        src.append(x["key"])
+                        dst.append(y["key"])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
 
     return run
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, holders: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs of classes whose full sets have 100 * intersection >= percent * union.
+def _sets_of(keys: DataFrame, documents: DataFrame, holders: DataFrame, k: int) -> DataFrame:
+    """(key, items) of the wanted classes: sorted hashes as bytes, computed anew from one text of each class."""
+    ids = holders.join(keys, "key", "left_semi").select("doc_id").distinct()
+    texts_of = documents.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi").select("text")
+    return texts_of.mapInArrow(_sets(k), "key binary, items binary").join(keys, "key", "left_semi").groupBy("key").agg(F.first("items").alias("items"))
 
-    The sets are computed anew, only for classes that stand in a pair.
-    """
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "a", 16 << 20):
+            n = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                s, t = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                n.append(int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()))
+            sizes = [pc.divide(pc.binary_length(batch.column(c)), 8).cast(pa.int64()) for c in "ab"]
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst"), *sizes, pa.array(n, pa.int64())], ["src", "dst", "na", "nb", "n"])
+
+
+def _verify(pairs: DataFrame, documents: DataFrame, holders: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs of classes whose full sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("src").alias("key")).union(pairs.select("dst")).distinct()
-    ids = holders.join(wanted, "key", "left_semi").select("doc_id", "key")
-    texts_of = documents.alias("d").join(ids.select("doc_id").distinct().alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi").select("text")
-    sets = save(texts_of.mapInArrow(_sets(k), "key binary, items array<bigint>").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = save(_sets_of(wanted, documents, holders, k), "sets")
     a, b = sets.select(F.col("key").alias("src"), F.col("items").alias("a")), sets.select(F.col("key").alias("dst"), F.col("items").alias("b"))
-    # by size first: a ratio of sizes below the threshold can't reach it
-    small, large = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
-    both = pairs.join(a, "src").join(b, "dst").where(100 * small >= percent * large)
-    common = F.size(F.array_intersect("a", "b"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("a") + F.size("b") - F.col("common"))).select("src", "dst")
+    # by size first: sizes in a ratio below the threshold can't reach it
+    sizes = sets.select("key", F.length("items").alias("n"))
+    alike = pairs.join(sizes.select(F.col("key").alias("src"), F.col("n").alias("m")), "src").join(sizes.select(F.col("key").alias("dst"), "n"), "dst")
+    alike = alike.where(100 * F.least("m", "n") >= percent * F.greatest("m", "n")).select("src", "dst")
+    both = alike.join(a, "src").join(b, "dst").select("src", "dst", "a", "b")
+    counted = both.mapInArrow(_common, "src binary, dst binary, na bigint, nb bigint, n bigint")
+    return counted.where(100 * F.col("n") >= percent * (F.col("na") + F.col("nb") - F.col("n"))).select("src", "dst")
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -182,7 +265,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, h
     classes = save(docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
     first = (F.col("s.key") == F.col("c.key")) & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id"))
     one = signed.alias("s").join(classes.alias("c"), first, "left_semi").select("key", "sig", "bands")
-    banded = one.select("key", F.explode("bands").alias("band"))
+    banded = one.select("key", F.posexplode("bands").alias("at", "band"))
     pivots = banded.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("most")).where("pivot <> most").select("band", "pivot")
     members = save(banded.join(pivots, "band"), "members")  # only buckets with two classes or more
     tried = save(members.where("key <> pivot").select(F.col("pivot").alias("src"), F.col("key").alias("dst")).distinct(), "pairs")
@@ -190,12 +273,11 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, h
     comps = star_components(links)
 
     # second round: buckets whose members besides the pivot, which has met them all, are in several components
-    others = members.where("key <> pivot").select("band", "key").distinct()
-    at = others.join(comps, others["key"] == comps["node"], "left").select("band", "key", F.coalesce("comp", "key").alias("comp"))
+    others = members.where("key <> pivot").select("at", "band", "key").distinct()
+    at = others.join(comps, others["key"] == comps["node"], "left").select("at", "band", "key", F.coalesce("comp", "key").alias("comp"))
     mixed = at.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band")
     rest = save(at.join(mixed, "band", "left_semi"), "rest")
-    across = _residual(rest, one, percent / 100 - SLACK).distinct().join(tried, ["src", "dst"], "left_anti")
-    more = save(_verify(save(across, "pairs"), documents, classes, k, percent), "links")
+    more = save(_residual(rest, one, documents, classes, k, rows, percent), "links")
     comps = star_components(links.union(more))
 
     least = classes.join(comps, classes["key"] == comps["node"], "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id")
@@ -206,21 +288,23 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, h
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _residual(rest: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs across components in the given buckets, compared block against block.
+def _residual(rest: DataFrame, signed: DataFrame, documents: DataFrame, holders: DataFrame, k: int, rows: int, percent: int) -> DataFrame:
+    """Links across components in the given buckets, block against block.
 
     A bucket's members are dealt to blocks of about BLOCK by their key; pairs of blocks are rows of their
-    own, so that a bucket of any size spreads over tasks.
+    own, so that a bucket of any size spreads over tasks. Sets go only to the pairs of blocks, and for the
+    members, that have a candidate pair.
     """
+    threshold = percent / 100 - SLACK
+    cell = ["band", "at", "i", "j"]
     sizes = rest.groupBy("band").agg(F.count("*").alias("n")).select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     dealt = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    dealt = dealt.join(signed.select("key", "sig").dropDuplicates(["key"]), "key")
-    # block i is compared with blocks i..blocks-1: a member goes to each of the block pairs that its block is in
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = dealt.select("band", "block", "blocks", "comp", "key", "sig", other)
-    cell = sent.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.struct("key", "comp", "sig").alias("m"))
-    sides = cell.groupBy("band", "i", "j").agg(
-        F.collect_list(F.when(F.col("block") == F.col("i"), F.col("m"))).alias("left"),
-        F.collect_list(F.when(F.col("block") == F.col("j"), F.col("m"))).alias("right"),
-    )
-    return sides.select("left", "right").where((F.size("left") > 0) & (F.size("right") > 0)).mapInArrow(_across(threshold), "src binary, dst binary")
+    sigs = signed.join(rest.select("key").distinct(), "key", "left_semi").select("key", "sig").dropDuplicates(["key"])
+    sent = dealt.join(sigs, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ends = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    cells = sent.select("band", "at", *ends, F.struct("key", "comp", "block", "sig").alias("m")).groupBy(*cell).agg(F.collect_list("m").alias("members"))
+    some = F.aggregate("members", F.lit(False), lambda a, m: a | (m["comp"] != F.col("members")[0]["comp"]))
+    opened = save(cells.where(some).mapInArrow(_open(rows, threshold), f"{CELL}, key binary, comp binary, block bigint, sig binary"), "open")
+    sets = save(_sets_of(opened.select("key").distinct(), documents, holders, k), "sets")
+    full = opened.join(sets, "key").select(*cell, F.struct("key", "comp", "block", "sig", "items").alias("m"))
+    return full.groupBy(*cell).agg(F.collect_list("m").alias("members")).mapInArrow(_links(rows, threshold, percent), "src binary, dst binary")
