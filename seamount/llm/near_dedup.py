@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, slices, texts
+from .common import bounded_broadcast, save, slices, texts
 
 HASHES = 128
 ROWS = 4  #: minima in a band; HASHES / ROWS bands
 SHINGLE = 4
+#: Ids of the documents whose sets are wanted are broadcast up to so many.
+IDS = 1_000_000
 #: In the second round, members of a bucket are compared in blocks of so many.
 BLOCK = 512
 #: A pair goes on to verification if its signatures agree in a share that is so far below the threshold at
@@ -197,7 +199,8 @@ def _links(rows: int, threshold: float, percent: int):
 
 def _sets_of(keys: DataFrame, documents: DataFrame, holders: DataFrame, k: int) -> DataFrame:
     """(key, items) of the wanted classes: sorted hashes as bytes, computed anew from one text of each class."""
-    ids = holders.join(keys, "key", "left_semi").select("doc_id").distinct()
+    # up to a bound the ids go to the texts; beyond it both are shuffled
+    ids = bounded_broadcast(save(holders.join(keys, "key", "left_semi").select("doc_id").distinct(), "ids"), limit=IDS)
     texts_of = documents.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi").select("text")
     return texts_of.mapInArrow(_sets(k), "key binary, items binary").join(keys, "key", "left_semi").groupBy("key").agg(F.first("items").alias("items"))
 
