@@ -14,8 +14,8 @@ bits         the codes, most significant bit first
 checkpoints  little-endian u32: the bit offset of every STEP-th id, so that decoding starts at any of them
 ===========  =============================================================================================
 
-Blocks decode independently of each other; within a block all checkpoints decode at once. The code (ids and
-their lengths, at most the vocabulary) is a table of its own next to the blocks.
+Blocks decode independently of each other; within a block all checkpoints decode at once. Texts are encoded once,
+into blocks of plain ids; the ids are counted from those, and each block is then rewritten in the code.
 
 A null text is empty and has the end id only. Null doc_ids come first. Repeated doc_ids stand in the order of
 their texts. Extra columns are ignored. An empty table gives an empty result.
@@ -40,19 +40,23 @@ BLOCK = 1 << 16
 STEP = 128
 LIMIT = 20  #: longest code in bits; more only if the ids don't fit
 
-BLOCKS = "part int, block bigint, at bigint, doc_no bigint, doc_ids array<bigint>, counts array<bigint>, piece int, pieces int, bits binary, checkpoints binary"
+PLAIN = "part int, block bigint, at bigint, doc_no bigint, doc_ids array<bigint>, counts array<bigint>, piece int, pieces int, ids binary"
+BLOCKS = PLAIN.replace("ids binary", "bits binary, checkpoints binary")
 PIECES = "part int, doc_no bigint, piece int, pieces int, doc_id bigint, rel bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 class Encoder:
-    """Text to the ids of a tokenizers file as little-endian u32 bytes.
+    """Text to the ids of a tokenizers file as little-endian bytes, of two or four bytes an id.
 
     Byte-level BPE splits a text into words first. A single space between two characters that aren't white
-    space always begins a word, so the pieces between such spaces are encoded on their own and remembered.
-    Texts with any other white space next to a space are encoded as a whole. What is remembered is bounded.
+    space always begins a word, so the pieces between such spaces are encoded apart from each other and
+    remembered. Letters never join with marks behind them either, so a word with marks is put together from both.
+    Texts with any other white space next to a space are encoded as a whole. When more than KEEP pieces are
+    remembered, those of the texts at hand stay.
     """
 
-    KEEP, LONGEST = 200_000, 48
+    KEEP = 900_000
+    MARKS = ".,#%*&$!|;:?)"
 
     def __init__(self, path: str):
         import os
@@ -63,32 +67,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
         self.size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.spaced = np.zeros(self.size, bool)  # ids that begin with a space
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
-
-    def _fresh(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+        self.tails: dict[str, bytes] = {}
+
+    def _ids(self, strings: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str], together: int = 500) -> Iterator[bytes]:
+        """The ids of pieces with a space before each; many are encoded as one text and parted at their spaces."""
+        groups = [pieces[i : i + together] for i in range(0, len(pieces), together)]
+        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(group):
+                raw, width = ids.tobytes(), ids.itemsize
+                cuts = [*(starts * width).tolist(), len(raw)]
+                yield from (raw[i:j] for i, j in zip(cuts, cuts[1:]))
+            else:
+                yield from (x.tobytes() for x in self._ids([" " + p for p in group]))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers pieces that are not empty and have no white space at an end."""
+        known, joined, plain = self.known, [], {}
+        for p in pieces:
+            if p and p == p.strip():
+                word = p.rstrip(self.MARKS)
+                if word != p and word.isalpha():
+                    joined.append((p, word, p[len(word) :]))
+                    if word not in known:
+                        plain[word] = None
+                else:
+                    plain[p] = None
+        known.update(zip(plain, self._pieces(list(plain)), strict=True))
+        for p, word, marks in joined:
+            tail = self.tails.get(marks)
+            if tail is None:
+                tail = self.tails[marks] = self._ids([marks])[0].tobytes()
+            known[p] = known[word] + tail
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         if len(self.known) > self.KEEP:
-            self.known.clear()
-        known = self.known
-        # pieces that are empty or have white space at an end are never known: their texts go the whole way
-        new = [p for p in set().union(*split) - known.keys() if p and p == p.strip()]
-        known.update(zip(new, self._fresh([" " + p for p in new]), strict=True))
+            self.known = {p: self.known[p] for p in set().union(*split) & self.known.keys()}
+            self.tails.clear()
+        get = self.known.get
+        found = [list(map(get, pieces)) for pieces in split]
+        self._learn(list({p: None for pieces, ids in zip(split, found, strict=True) for p, x in zip(pieces, ids) if x is None}))
         out: list[bytes | None] = []
-        for pieces in split:
+        for pieces, ids in zip(split, found, strict=True):
             first = pieces[0]
+            # after the first piece a space follows: it may not be empty or end with white space
             safe = len(pieces) == 1 or (first and first == first.rstrip())
-            try:
-                out.append(b"".join([known[p] for p in pieces[1:]]) if safe else None)
-            except KeyError:
-                out.append(None)
+            ids[0] = b""
+            if safe and None in ids:
+                ids = [get(p) if x is None else x for p, x in zip(pieces, ids)]
+                safe = None not in ids  # pieces with white space at an end are never known: their texts go the whole way
+            out.append(b"".join(ids) if safe else None)
         heads = [t if o is None else p[0] for t, o, p in zip(texts, out, split, strict=True)]
-        for p in new:
-            if len(p) > self.LONGEST:
-                del known[p]
-        return [head + (rest or b"") for head, rest in zip(self._fresh(heads), out, strict=True)]
+        return [head.tobytes() + (rest or b"") for head, rest in zip(self._ids(heads), out, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -221,23 +259,12 @@ def _strings(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def _count(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        total = np.zeros(e.size, np.int64)
-        for whole in batches:
-            for batch in slices(whole):
-                total += np.bincount(np.frombuffer(b"".join(e.encode(_strings(batch))), "<u4"), minlength=e.size)
-                total[END] += len(batch)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
-
-    return run
-
+def _plain(path: str):
+    """Blocks of plain ids from texts in ascending order of their ids."""
 
-def _write(path: str, lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, codes, end = encoder(path), canonical_codes(lengths), np.array([END], "<u4").tobytes()
+        e = encoder(path)
+        end = np.array([END], e.kind).tobytes()
         part, block, at, doc_no = TaskContext.get().partitionId(), 0, 0, 0
         docs: list[int | None] = []
         held: list[np.ndarray] = []
@@ -245,20 +272,19 @@ def _write(path: str, lengths: np.ndarray):
         def row(doc_ids, pieces_of, piece=0, pieces=1):
             nonlocal block, at
             ids = np.concatenate(pieces_of)
-            bits, marks = pack(ids, codes, lengths)
-            out = [part, block, at, doc_no, doc_ids, [len(x) for x in pieces_of], piece, pieces, bits, marks]
+            out = [part, block, at, doc_no, doc_ids, [len(x) for x in pieces_of], piece, pieces, ids.tobytes()]
             block, at = block + 1, at + len(ids)
             return out
 
         def batch_of(rows):
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in PLAIN.split(", ")])
 
         for whole in batches:
             for batch in slices(whole):
                 rows = []
                 for doc_id, coded in zip(batch.column("doc_id").to_pylist(), e.encode(_strings(batch)), strict=True):
-                    ids = np.frombuffer(coded + end, "<u4")
+                    ids = np.frombuffer(coded + end, e.kind)
                     if held and sum(map(len, held)) + len(ids) > BLOCK:
                         rows.append(row(docs, held))
                         doc_no += len(docs)
@@ -278,6 +304,31 @@ def _write(path: str, lengths: np.ndarray):
     return run
 
 
+def _count(size: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for raw in batch.column("ids"):
+                total += np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=size)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+
+    return run
+
+
+def _code(lengths: np.ndarray, kind: str):
+    """Plain blocks in the code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = canonical_codes(lengths)
+        for whole in batches:
+            for batch in slices(whole, "ids"):
+                packed = [pack(np.frombuffer(raw.as_buffer(), kind), codes, lengths) for raw in batch.column("ids")]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1))], [*batch.schema.names[:-1], "bits", "checkpoints"])
+
+    return run
+
+
 def _read(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
@@ -303,29 +354,34 @@ def _join_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.head(1).assign(n_tokens=pdf["n_tokens"].sum(), ids_crc32=crc)
 
 
-def id_lengths(documents: DataFrame, path: str, limit: int = LIMIT) -> np.ndarray:
+def plain_blocks(documents: DataFrame, path: str) -> DataFrame:
+    """Writes the plain ids of all documents in blocks, in ascending doc_id order; returns the table."""
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = documents.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    return save(rows.mapInArrow(_plain(path), PLAIN), "token-ids")
+
+
+def id_lengths(plain: DataFrame, path: str, limit: int = LIMIT) -> np.ndarray:
     """Code lengths by id, from the counts in all documents; the driver gets one row for each id in use."""
-    counts = documents.select("text").mapInArrow(_count(path), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
-    total = np.zeros(encoder(path).size, np.int64)
+    e = encoder(path)
+    found = plain.select("ids").mapInArrow(_count(e.size, e.kind), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(e.size, np.int64)
     total[found["id"].to_numpy()] = found["n"].to_numpy()
     return code_lengths(total, limit)
 
 
-def write_blocks(documents: DataFrame, path: str, lengths: np.ndarray) -> DataFrame:
-    """Writes the blocks of all documents in ascending doc_id order; returns the table that was written."""
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return save(rows.mapInArrow(_write(path, lengths), BLOCKS), "token-blocks", "uncompressed")
+def write_blocks(plain: DataFrame, path: str, lengths: np.ndarray) -> DataFrame:
+    """Writes the coded blocks of plain ones; returns the table that was written."""
+    return save(plain.mapInArrow(_code(lengths, encoder(path).kind), BLOCKS), "token-blocks", "uncompressed")
 
 
 def read_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the decoded blocks."""
-    pieces = blocks.mapInArrow(_read(lengths), PIECES)
+    pieces = save(blocks.mapInArrow(_read(lengths), PIECES), "pieces")
     whole = pieces.where("pieces = 1")
     # a document of several blocks has few pieces, one for each BLOCK ids
     parts = pieces.where("pieces > 1").groupBy("part", "doc_no").applyInPandas(_join_pieces, PIECES)
-    totals = blocks.select("part", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    totals = pieces.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row a partition
     out = whole.union(parts).join(bounded_broadcast(offsets), "part")
@@ -334,6 +390,6 @@ def read_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
 
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
     """Encodes, writes, reads and decodes all documents; one row per document."""
-    documents = documents.select("doc_id", "text")
-    lengths = id_lengths(documents, path)
-    return read_blocks(write_blocks(documents, path, lengths), lengths)
+    plain = plain_blocks(documents, path)
+    lengths = id_lengths(plain, path)
+    return read_blocks(write_blocks(plain, path, lengths), lengths)
