@@ -49,9 +49,10 @@ class Encoder:
     """Text to the ids of a tokenizers file as little-endian bytes, of two or four bytes an id.
 
     Byte-level BPE splits a text into words first. A single space between two characters that aren't white
-    space always begins a word, so the pieces between such spaces are encoded apart from each other and
+    space always begins a word, and a single line feed between two such characters always is one. So the pieces
+    between such places are encoded apart from each other, each with the space or line feed before it, and
     remembered. Letters never join with marks behind them either, so a word with marks is put together from both.
-    Texts with any other white space next to a space are encoded as a whole. When more than KEEP pieces are
+    Texts with any other white space next to these are encoded as a whole. When more than KEEP pieces are
     remembered, those of the texts at hand stay.
     """
 
@@ -68,39 +69,50 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.spaced = np.zeros(self.size, bool)  # ids that begin with a space
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
+        # ids that begin with a space, or with a line feed
+        self.opens = {c: np.zeros(self.size, bool) for c in " \n"}
+        for t, i in self.tokenizer.get_vocab().items():
+            for c, sign in ((" ", "\u0120"), ("\n", "\u010a")):
+                self.opens[c][i] = t.startswith(sign)
+        self.known: dict[str, bytes] = {}  # a piece stands for itself with a space before it unless it begins with a line feed
         self.tails: dict[str, bytes] = {}
 
     def _ids(self, strings: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str], together: int = 500) -> Iterator[bytes]:
-        """The ids of pieces with a space before each; many are encoded as one text and parted at their spaces."""
+    def _pieces(self, pieces: list[str], before: str, together: int = 500) -> Iterator[bytes]:
+        """The ids of pieces with a space or line feed before each; many are encoded as one text and parted there."""
         groups = [pieces[i : i + together] for i in range(0, len(pieces), together)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.spaced[ids])
+        for group, ids in zip(groups, self._ids([before + before.join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.opens[before][ids])
             if len(starts) == len(group):
                 raw, width = ids.tobytes(), ids.itemsize
                 cuts = [*(starts * width).tolist(), len(raw)]
                 yield from (raw[i:j] for i, j in zip(cuts, cuts[1:]))
             else:
-                yield from (x.tobytes() for x in self._ids([" " + p for p in group]))
+                yield from (x.tobytes() for x in self._ids([before + p for p in group]))
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remembers pieces that are not empty and have no white space at an end."""
-        known, joined, plain = self.known, [], {}
+    def _learn(self, pieces: set[str]) -> None:
+        """Remembers pieces that are not empty and, but for a line feed before them, have no white space at an end."""
+        known, joined, plain, lines = self.known, [], {}, {}
         for p in pieces:
-            if p and p == p.strip():
+            if p.isalpha():
+                plain[p] = None
+                continue
+            own = p[1:] if p[:1] == "\n" else p
+            if own and own == own.strip():
                 word = p.rstrip(self.MARKS)
-                if word != p and word.isalpha():
+                if word != p and word[len(p) - len(own) :].isalpha():
                     joined.append((p, word, p[len(word) :]))
-                    if word not in known:
-                        plain[word] = None
-                else:
+                    p = word
+                    if p in known:
+                        continue
+                if own is p or p[0] != "\n":
                     plain[p] = None
-        known.update(zip(plain, self._pieces(list(plain)), strict=True))
+                else:
+                    lines[p[1:]] = p
+        known.update(zip(plain, self._pieces(list(plain), " "), strict=True))
+        known.update(zip(lines.values(), self._pieces(list(lines), "\n"), strict=True))
         for p, word, marks in joined:
             tail = self.tails.get(marks)
             if tail is None:
@@ -108,25 +120,26 @@ class Encoder:
             known[p] = known[word] + tail
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        pieces = set().union(*split)
         if len(self.known) > self.KEEP:
-            self.known = {p: self.known[p] for p in set().union(*split) & self.known.keys()}
+            self.known = {p: self.known[p] for p in pieces & self.known.keys()}
             self.tails.clear()
+        self._learn(pieces - self.known.keys())
         get = self.known.get
-        found = [list(map(get, pieces)) for pieces in split]
-        self._learn(list({p: None for pieces, ids in zip(split, found, strict=True) for p, x in zip(pieces, ids) if x is None}))
-        out: list[bytes | None] = []
-        for pieces, ids in zip(split, found, strict=True):
-            first = pieces[0]
-            # after the first piece a space follows: it may not be empty or end with white space
-            safe = len(pieces) == 1 or (first and first == first.rstrip())
-            ids[0] = b""
-            if safe and None in ids:
-                ids = [get(p) if x is None else x for p, x in zip(pieces, ids)]
-                safe = None not in ids  # pieces with white space at an end are never known: their texts go the whole way
-            out.append(b"".join(ids) if safe else None)
-        heads = [t if o is None else p[0] for t, o, p in zip(texts, out, split, strict=True)]
-        return [head.tobytes() + (rest or b"") for head, rest in zip(self._ids(heads), out, strict=True)]
+        heads, rests = [], []
+        for text, own in zip(texts, split, strict=True):
+            first, rest = own[0], b""
+            # after the first piece white space follows: it may not be empty or end with such
+            safe = len(own) == 1 or (first and first == first.rstrip())
+            if safe:
+                try:
+                    rest = b"".join(map(get, own[1:]))
+                except TypeError:  # a piece with more white space at an end is never known: its text goes the whole way
+                    safe = False
+            heads.append(first if safe else text)
+            rests.append(rest)
+        return [head.tobytes() + rest for head, rest in zip(self._ids(heads), rests, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
