@@ -49,7 +49,37 @@ def measure(name: str, kind: str = "counted", summary: str = MEAN, defaults: tup
     return add
 
 
-n_rel, n_nonrel, rank, hit, cr = (F.col(c) for c in ("n_rel", "n_nonrel", "rank", "hit", "cr"))
+
+
+class _Rows:
+    """Columns of the rows that measures aggregate, and what many measures share; made when asked for, in a session."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+    @property
+    def retrieved(self) -> Column:
+        return F.count("*")
+
+    @property
+    def hits(self) -> Column:
+        return F.sum("hit").cast("double")
+
+    @property
+    def precision(self) -> Column:
+        return self.cr / self.rank
+
+    @property
+    def last_dcg(self) -> Column:
+        return F.max_by("dcg", "rank")
+
+    @property
+    def last_idcg(self) -> Column:
+        return F.max_by("idcg", "rank")
+
+
+row = _Rows()
+
 
 
 def _per_r(total: Column) -> Column:
@@ -66,12 +96,7 @@ def _share(a: Column, b: Column) -> Column:
 
 
 def _hits(k: int | Column) -> Column:
-    return _when(rank <= k, hit)
-
-
-retrieved = F.count("*")
-hits = F.sum("hit").cast("double")
-precision = cr / rank
+    return _when(row.rank <= k, row.hit)
 
 
 @measure("num_q", summary=SUM)
@@ -83,7 +108,7 @@ def _num_q(p):
 @measure("num_ret", summary=SUM)
 def _num_ret(p):
     """Documents retrieved."""
-    return {"num_ret": retrieved.cast("double")}
+    return {"num_ret": row.retrieved.cast("double")}
 
 
 @measure("num_rel", summary=SUM)
@@ -95,17 +120,17 @@ def _num_rel(p):
 @measure("num_rel_ret", summary=SUM)
 def _num_rel_ret(p):
     """Relevant documents retrieved."""
-    return {"num_rel_ret": hits}
+    return {"num_rel_ret": row.hits}
 
 
 @measure("num_nonrel_judged_ret", summary=SUM)
 def _num_nonrel(p):
     """Documents retrieved that were judged and aren't relevant."""
-    return {"num_nonrel_judged_ret": F.count_if((F.col("rel") >= 0) & (hit == 0)).cast("double")}
+    return {"num_nonrel_judged_ret": F.count_if((F.col("rel") >= 0) & (row.hit == 0)).cast("double")}
 
 
 def _ap() -> Column:
-    return _per_r(_when(hit == 1, precision))
+    return _per_r(_when(row.hit == 1, row.precision))
 
 
 @measure("map")
@@ -123,12 +148,12 @@ def _gm_map(p):
 @measure("Rprec")
 def _rprec(p):
     """Precision after R documents."""
-    return {"Rprec": _per_r(_when(rank <= n_rel, hit))}
+    return {"Rprec": _per_r(_when(row.rank <= row.n_rel, row.hit))}
 
 
 def _bpref() -> Column:
-    each = F.when(F.col("nonrel_before") == 0, 1.0).otherwise(1.0 - F.least(F.col("nonrel_before"), n_rel) / F.least(n_nonrel, n_rel))
-    return _per_r(_when(hit == 1, each))
+    each = F.when(F.col("nonrel_before") == 0, 1.0).otherwise(1.0 - F.least(F.col("nonrel_before"), row.n_rel) / F.least(row.n_nonrel, row.n_rel))
+    return _per_r(_when(row.hit == 1, each))
 
 
 @measure("bpref")
@@ -146,11 +171,11 @@ def _gm_bpref(p):
 @measure("recip_rank")
 def _recip_rank(p):
     """One over the rank of the first relevant document."""
-    return {"recip_rank": F.coalesce(1.0 / F.min(F.when(hit == 1, rank)), F.lit(0.0))}
+    return {"recip_rank": F.coalesce(1.0 / F.min(F.when(row.hit == 1, row.rank)), F.lit(0.0))}
 
 
 def _interpolated(x: float) -> Column:
-    return F.coalesce(F.max(F.when(cr >= F.floor(x * n_rel + 0.5), precision)), F.lit(0.0))
+    return F.coalesce(F.max(F.when(row.cr >= F.floor(x * row.n_rel + 0.5), row.precision)), F.lit(0.0))
 
 
 @measure("iprec_at_recall", defaults=RECALLS)
@@ -192,12 +217,12 @@ def _success(p, *cuts):
 @measure("map_cut", defaults=CUTS)
 def _map_cut(p, *cuts):
     """Average precision of the first k documents."""
-    return {f"map_cut_{k}": _per_r(_when((hit == 1) & (rank <= k), precision)) for k in cuts}
+    return {f"map_cut_{k}": _per_r(_when((row.hit == 1) & (row.rank <= k), row.precision)) for k in cuts}
 
 
 def _multiple(x: float) -> Column:
-    cut = F.floor(x * n_rel + 0.9)
-    return _share(_when(rank <= cut, hit), F.max(cut))
+    cut = F.floor(x * row.n_rel + 0.9)
+    return _share(_when(row.rank <= cut, row.hit), F.max(cut))
 
 
 @measure("Rprec_mult", defaults=MULTIPLES)
@@ -211,67 +236,67 @@ def _relstring(p, n):
     """The levels of the first documents, a character each: - not pooled, . not judged, > over 9."""
     rel = F.col("rel")
     char = F.when(rel == J.NOT_POOLED, "-").when(rel == J.NOT_JUDGED, ".").when(rel > 9, ">").when(rel >= 0, rel.cast("string")).otherwise("<")
-    first = F.array_sort(F.collect_list(F.when(rank <= n, F.struct("rank", char.alias("c")))))
+    first = F.array_sort(F.collect_list(F.when(row.rank <= n, F.struct("rank", char.alias("c")))))
     return {f"relstring_{n}": F.concat(F.lit("'"), F.array_join(F.transform(first, lambda x: x["c"]), ""), F.lit("'"))}
 
 
 @measure("infAP")
 def _inf_ap(p):
     """Average precision inferred where judgments are a sample."""
-    e, j = 1e-5, (rank - 1).cast("double")
-    b, u, nb = (cr - hit).cast("double"), F.col("unjudged_before").cast("double"), F.col("nonrel_before").cast("double")
+    e, j = 1e-5, (row.rank - 1).cast("double")
+    b, u, nb = (row.cr - row.hit).cast("double"), F.col("unjudged_before").cast("double"), F.col("nonrel_before").cast("double")
     each = F.when(j == 0, 1.0).otherwise(1.0 / (j + 1) + (j / (j + 1)) * ((b + nb + u) / F.greatest(j, F.lit(1.0))) * ((b + e) / (b + nb + 2 * e)))
-    return {"infAP": _per_r(_when(hit == 1, each))}
+    return {"infAP": _per_r(_when(row.hit == 1, each))}
 
 
 @measure("utility", defaults=(1.0, -1.0, 0.0, 0.0))
 def _utility(p, a, b, c, d):
     """Weighted counts: relevant and nonrelevant retrieved, relevant and nonrelevant not retrieved."""
     total = F.max("n_rel")
-    return {"utility": a * hits + b * (retrieved - hits) + c * (total - hits) + d * (p.n_docs + hits - retrieved - total)}
+    return {"utility": a * row.hits + b * (row.retrieved - row.hits) + c * (total - row.hits) + d * (p.n_docs + row.hits - row.retrieved - total)}
 
 
 @measure("binG")
 def _bin_g(p):
     """Relevant documents discounted by the nonrelevant ones before them."""
-    return {"binG": _per_r(_when(hit == 1, 1.0 / F.log2(2.0 + rank - cr)))}
+    return {"binG": _per_r(_when(row.hit == 1, 1.0 / F.log2(2.0 + row.rank - row.cr)))}
 
 
 @measure("set_P")
 def _set_p(p):
     """Precision of the whole set."""
-    return {"set_P": _share(hits, retrieved)}
+    return {"set_P": _share(row.hits, row.retrieved)}
 
 
 @measure("set_relative_P")
 def _set_relative(p):
     """Precision of the whole set over the best that could be."""
-    return {"set_relative_P": _share(hits, F.least(retrieved, F.max("n_rel")))}
+    return {"set_relative_P": _share(row.hits, F.least(row.retrieved, F.max("n_rel")))}
 
 
 @measure("set_recall")
 def _set_recall(p):
     """Recall of the whole set."""
-    return {"set_recall": _per_r(hits)}
+    return {"set_recall": _per_r(row.hits)}
 
 
 @measure("set_map")
 def _set_map(p):
     """Precision times recall of the whole set."""
-    return {"set_map": _share(hits * hits, retrieved * F.max("n_rel"))}
+    return {"set_map": _share(row.hits * row.hits, row.retrieved * F.max("n_rel"))}
 
 
 @measure("set_F", defaults=(1.0,))
 def _set_f(p, x):
     """F measure of the whole set."""
-    pr, rc = _share(hits, retrieved), _per_r(hits)
-    return {"set_F": F.when(hits > 0, (x + 1) * pr * rc / (x * pr + rc)).otherwise(0.0)}
+    pr, rc = _share(row.hits, row.retrieved), _per_r(row.hits)
+    return {"set_F": F.when(row.hits > 0, (x + 1) * pr * rc / (x * pr + rc)).otherwise(0.0)}
 
 
 @measure("yaap")
 def _yaap(p):
     """A log odds form of average precision."""
-    s = _when(hit == 1, precision)
+    s = _when(row.hit == 1, row.precision)
     return {"yaap": F.when(F.max("n_rel") > 0, F.ln((1.0 + s) / (1.0 + F.max("n_rel") - s))).otherwise(0.0)}
 
 
@@ -281,45 +306,42 @@ def _rbp(p, persistence):
     low, high = F.col("min_gain"), F.col("max_gain")
     gain = F.when((low < 0) | (high > 1), F.try_divide(p.gain(F.col("rel")) - low, high - low)).otherwise(p.gain(F.col("rel")))
     gain = F.when(F.col("rel") < 0, 0.0).otherwise(gain)
-    return {"rbp": (1 - persistence) * F.coalesce(F.sum(gain * F.pow(F.lit(persistence), rank - 1)), F.lit(0.0))}
+    return {"rbp": (1 - persistence) * F.coalesce(F.sum(gain * F.pow(F.lit(persistence), row.rank - 1)), F.lit(0.0))}
 
 
 @measure("rbp_resid", defaults=(0.9,))
 def _rbp_resid(p, persistence):
     """What rbp could still gain from documents without a judgment."""
     missing = F.col("rel") < 0
-    rest = F.pow(F.lit(persistence), F.count("*")) + (1 - persistence) * _when(missing, F.pow(F.lit(persistence), rank - 1))
+    rest = F.pow(F.lit(persistence), F.count("*")) + (1 - persistence) * _when(missing, F.pow(F.lit(persistence), row.rank - 1))
     return {"rbp_resid": F.when(F.count_if(missing) > 0, rest).otherwise(0.0)}
 
 
 @measure("unj", defaults=(5, 10, 20))
 def _unj(p, *cuts):
     """Share of the first k documents without a judgment."""
-    return {f"unj_{k}": F.count_if((F.col("rel") < 0) & (rank <= k)) / k for k in cuts}
+    return {f"unj_{k}": F.count_if((F.col("rel") < 0) & (row.rank <= k)) / k for k in cuts}
 
 
 # Measures of graded gains, over the ranking beside the ideal one
 
-dcg, idcg, gain = F.col("dcg"), F.col("idcg"), F.col("gain")
-last_dcg, last_idcg = F.max_by("dcg", "rank"), F.max_by("idcg", "rank")
-
 
 @measure("dcg", "gained")
 def _dcg(p):
     """Discounted gain of the ranking."""
-    return {"dcg": last_dcg}
+    return {"dcg": row.last_dcg}
 
 
 @measure("ideal_dcg", "gained")
 def _ideal(p):
     """Discounted gain of the ideal ranking."""
-    return {"ideal_dcg": last_idcg}
+    return {"ideal_dcg": row.last_idcg}
 
 
 @measure("ndcg", "gained")
 def _ndcg(p):
     """Discounted gain over that of the ideal ranking."""
-    return {"ndcg": _share(last_dcg, last_idcg)}
+    return {"ndcg": _share(row.last_dcg, row.last_idcg)}
 
 
 @measure("ndcg_cut", "gained", defaults=CUTS)
@@ -328,8 +350,8 @@ def _ndcg_cut(p, *cuts):
     plain = F.greatest(F.coalesce("rel", F.lit(0)), F.lit(0)).cast("double")
     out = {}
     for k in cuts:
-        top = _when(rank <= k, plain / F.log2(rank + 1.0))
-        best = _when(rank <= k, F.col("ideal") / F.log2(rank + 1.0))
+        top = _when(row.rank <= k, plain / F.log2(row.rank + 1.0))
+        best = _when(row.rank <= k, F.col("ideal") / F.log2(row.rank + 1.0))
         out[f"ndcg_cut_{k}"] = F.when(best > 0, top / best).otherwise(top)
     return out
 
@@ -337,9 +359,9 @@ def _ndcg_cut(p, *cuts):
 @measure("ndcg_rel", "gained")
 def _ndcg_rel(p):
     """Mean of ndcg at the positive documents; those not retrieved get the end's."""
-    found = F.coalesce(F.sum(F.when(gain > 0, dcg / idcg)), F.lit(0.0))
-    missing = F.max("n_gain") - F.count_if(gain > 0)
-    return {"ndcg_rel": F.when(F.max("n_rel") > 0, _share(found + missing * _share(last_dcg, last_idcg), F.max("n_gain"))).otherwise(0.0)}
+    found = F.coalesce(F.sum(F.when(row.gain > 0, row.dcg / row.idcg)), F.lit(0.0))
+    missing = F.max("n_gain") - F.count_if(row.gain > 0)
+    return {"ndcg_rel": F.when(F.max("n_rel") > 0, _share(found + missing * _share(row.last_dcg, row.last_idcg), F.max("n_gain"))).otherwise(0.0)}
 
 
 @measure("Rndcg", "gained")
@@ -347,14 +369,14 @@ def _rndcg(p):
     """Mean of ndcg where the ideal gain drops, and at the end of a longer ranking."""
     drop = (F.col("ideal") > 0) & (F.col("ideal") != F.col("next_ideal"))
     tail = (F.max("n") > F.max("n_gain") + 1).cast("int")
-    total = F.coalesce(F.sum(F.when(drop, dcg / idcg)), F.lit(0.0)) + tail * _share(last_dcg, last_idcg)
+    total = F.coalesce(F.sum(F.when(drop, row.dcg / row.idcg)), F.lit(0.0)) + tail * _share(row.last_dcg, row.last_idcg)
     return {"Rndcg": F.when(F.max("n_rel") > 0, _share(total, F.count_if(drop) + tail)).otherwise(0.0)}
 
 
 @measure("G", "gained")
 def _g(p):
     """Gain discounted by the cost of the ideal ranking up to it beyond what was gained."""
-    each = F.when(F.col("rel").isNotNull() & (gain != 0), gain / F.log2(2.0 + F.col("cost") - F.col("gain_sum")))
+    each = F.when(F.col("rel").isNotNull() & (row.gain != 0), row.gain / F.log2(2.0 + F.col("cost") - F.col("gain_sum")))
     return {"G": _share(F.coalesce(F.sum(each), F.lit(0.0)), F.max("ideal_sum"))}
 
 

@@ -71,10 +71,11 @@ def require_common(values: DataFrame) -> DataFrame:
 
 
 def z_scores(values: DataFrame, reference: DataFrame) -> DataFrame:
-    """(value - mean) / deviation by query and measure; MISSING_Z without a reference, 0 at a deviation of 0 if equal."""
+    """(value - mean) / deviation by query and measure (num_q stays); MISSING_Z without a reference, 0 at a deviation of 0 if equal."""
     both = values.join(reference, ["qid", "measure"], "left")
     z = (
-        F.when(F.col("mean").isNull(), MISSING_Z)
+        F.when(F.col("measure") == "num_q", F.col("value"))
+        .when(F.col("mean").isNull(), MISSING_Z)
         .when(F.col("stddev") == 0, F.when(F.col("value") == F.col("mean"), 0.0).otherwise(MISSING_Z))
         .otherwise((F.col("value") - F.col("mean")) / F.col("stddev"))
     )
