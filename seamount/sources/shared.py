@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` under ``spark.checkpoint.dir`` (a local folder only where it is unset) and reads it."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local folder only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="seamount-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes ``df`` in the shared folder and reads it."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

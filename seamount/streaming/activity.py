@@ -24,3 +24,20 @@ def dwell(opens: DataFrame, closes: DataFrame, most: str = "1 hour", late: str =
     b = closes.withWatermark("ts", late).select(F.col("user_id").alias("u"), F.col("doc_id").alias("d"), F.col("ts").alias("closed"))
     joined = a.join(b, F.expr(f"user_id = u AND doc_id = d AND closed >= opened AND closed <= opened + interval {most}"))
     return joined.select("user_id", "doc_id", "opened", (F.unix_micros("closed") - F.unix_micros("opened")).alias("dwell_us"))
+
+
+def latest(counts: DataFrame) -> DataFrame:
+    """Runs a stream of complete results over what there is and returns the last result, as a table in the shared folder."""
+    import uuid
+
+    from seamount.sources.shared import folder
+
+    spark = counts.sparkSession
+    path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result")
+
+    query = counts.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{path}/result")
