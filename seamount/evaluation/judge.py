@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamount.sources.files import unique
+
 NOT_POOLED, NOT_JUDGED = -1, -2
 
 
@@ -31,25 +33,19 @@ class EvalParams:
         return F.when(rel < 0, 0.0).otherwise(out)
 
 
-def checked(df: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """df; a repeated key stops the query. The count runs on the partitioning that the join needs anyway."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    wrong = F.raise_error(F.concat(F.lit(f"{what} twice: "), F.concat_ws(" ", *keys)))
-    return df.withColumn("_n", n).withColumn("_ok", F.when(F.col("_n") > 1, wrong.cast("boolean")).otherwise(True)).where("_ok").drop("_n", "_ok")
-
-
 def judge(run: DataFrame, qrels: DataFrame, p: EvalParams, *groups: str) -> DataFrame:
     """qid, docno, rank, rel (and the groups' columns) of queries that have a run and judgments.
 
     groups: further key columns of the judgments, such as judgment groups; each gets the whole ranking.
+    A document that is retrieved or judged twice stops the query.
     """
-    run = run.select("qid", "docno", "sim")
+    run = unique(run.select("qid", "docno", "sim"), ["qid", "docno"], "a retrieved document")
     if p.depth is not None:
         order = Window.partitionBy("qid").orderBy(F.desc("sim"), F.desc("docno"))
         run = run.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= p.depth).drop("_r")
     keys = ["qid", *groups]
     run = run.join(qrels.select(*keys).distinct(), "qid")
-    rel = qrels.select(*keys, "docno", F.col("rel").alias("_rel"))
+    rel = unique(qrels.select(*keys, "docno", F.col("rel").alias("_rel")), [*keys, "docno"], "a judged document")
     both = run.join(rel, [*keys, "docno"], "left")
     both = both.withColumn("rel", F.when(F.col("_rel").isNull(), NOT_POOLED).when(F.col("_rel") < 0, NOT_JUDGED).otherwise(F.col("_rel")))
     if p.judged_only:

@@ -34,14 +34,19 @@ def alphabetic(words: Column | str) -> Column:
 
 
 def ngrams(words: Column | str, n: int = 2) -> Column:
+    """Runs of n words, joined by spaces: shifted slices zipped, so that the words are made once for each slice."""
     words = _col(words)
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    size = F.greatest(F.size(words) - n + 1, F.lit(0))
+    out = F.slice(words, F.lit(1), size)
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(i + 1), size), lambda x, y: F.concat_ws(" ", x, y))
+    return out
 
 
 def sentences(text: Column | str) -> Column:
     """Cut behind end marks that white space follows; blank ones are left out."""
     marked = F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"([.!?])\s+", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def lemma(word: Column | str) -> Column:
@@ -76,7 +81,7 @@ def stem(word: Column | str) -> Column:
 
 def entities(text: Column | str) -> Column:
     """Runs of two or more capitalised words."""
-    return F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(r"(?:\p{Lu}\p{Ll}+ ?){2,}"), F.lit(0)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(r"(?:\p{Lu}\p{Ll}+ ?){2,}"), F.lit(0)), lambda s: F.trim(s))
 
 
 def analyze(text: Column | str, stop: bool = False, lemmatize: bool = False, with_entities: bool = False) -> Column:
@@ -98,9 +103,7 @@ def expansion(word: Column | str, synonyms: Column | str, most: int = 3) -> Colu
 def snippet(text: Column | str, terms: Column | str, length: int = 30) -> Column:
     """``length`` words around the first that is a term, with ``...`` where the text goes on."""
     w, terms = F.split(F.trim(F.regexp_replace(_col(text), r"\s+", " ")), " "), _col(terms)
-    lowered = F.transform(w, F.lower)
-    hits = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_contains(terms, F.element_at(lowered, i)))
-    at = F.try_element_at(hits, F.lit(1))
+    at = F.nullif(F.array_position(F.transform(w, lambda x: F.array_contains(terms, F.lower(x))), True), F.lit(0)).cast("int")
     start = F.greatest(at - length // 2, F.lit(1))
     end = F.least(at + length // 2, F.size(w) + 1)  # exclusive
     cut = F.array_join(F.slice(w, start, end - start), " ")

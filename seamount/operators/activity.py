@@ -14,13 +14,13 @@ def interactions(clicks: DataFrame) -> DataFrame:
 
 
 def dwell(events: DataFrame) -> DataFrame:
-    """Seconds from each open event to the close of the same user and document that follows it directly.
+    """Microseconds from each open event to the close of the same user and document that follows it directly.
 
     events: event_id, ts, user_id, doc_id, kind ('open' or 'close'). A close without an open is ignored.
     """
     w = Window.partitionBy("user_id", "doc_id").orderBy("ts", "event_id")
     following = events.withColumns({"next_kind": F.lead("kind").over(w), "closed": F.lead("ts").over(w)})
-    return following.where("kind = 'open' AND next_kind = 'close'").select("event_id", "user_id", "doc_id", (F.unix_micros("closed") - F.unix_micros("ts")).alias("dwell_us"))
+    return following.where("kind = 'open' AND next_kind = 'close'").select("event_id", "user_id", "doc_id", F.timestamp_diff("MICROSECOND", "ts", "closed").alias("dwell_us"))
 
 
 def log_lines(events: DataFrame) -> DataFrame:

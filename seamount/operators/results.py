@@ -71,7 +71,7 @@ def image_results(scored: DataFrame, metadata: DataFrame, words: list[str], band
     """
     rows = minmax(scored).where(F.col("normalized") >= threshold).join(metadata, "image_url", "left")
     empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    rows = rows.withColumn("final", boosted(F.col("normalized"), F.array(*[F.lit(w) for w in words]), empty("detected_objects", "array<string>")))
+    rows = rows.withColumn("final", boosted(F.col("normalized"), F.array(*[F.lit(w) for w in words]).cast("array<string>"), empty("detected_objects", "array<string>")))
     rows = rows.where(fits(F.col("image_size"), band))
     if rgb is not None:
         rows = rows.where(near_color(F.col("dominant_colors"), rgb))

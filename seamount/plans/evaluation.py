@@ -149,7 +149,7 @@ QUERIES["eval_complete"] = _summary(["num_q", "num_ret", "num_rel", "map", "gm_m
 _FEW = X.EVENTS.replace("run AS", "every AS") + ", run AS (SELECT * FROM every WHERE qid IN (SELECT qid FROM every GROUP BY qid HAVING count(*) >= 50))"
 SQL["eval_complete"] = f"""WITH {judged_sql(_FEW)}, t AS (SELECT qid, {AP} AS ap, count(*) AS num_ret FROM c GROUP BY qid),
 a AS (SELECT q.qid, t.qid IS NOT NULL AS here, coalesce(ap, 0) AS ap, coalesce(num_ret, 0) AS num_ret FROM (SELECT DISTINCT qid FROM qrels) q LEFT JOIN t ON q.qid = t.qid)
-""" + " UNION ALL ".join(f"SELECT '{n}' AS measure, 'all' AS qid, round(({e})::DOUBLE, 6) + 0 AS value FROM a" for n, e in (("num_q", "count(*)"), ("num_ret", "sum(num_ret)"), ("num_rel", "(SELECT count(*) FROM qrels WHERE rel > 0)"), ("map", "avg(ap)"), ("gm_map", "exp(avg(ln(greatest(ap, 1e-5))))")))
+""" + " UNION ALL ".join(f"SELECT '{n}' AS measure, 'all' AS qid, round(({e})::DOUBLE, 6) + 0 AS value FROM a" for n, e in (("num_q", "count(*)"), ("num_ret", "sum(num_ret)"), ("num_rel", "max((SELECT count(*) FROM qrels WHERE rel > 0))"), ("map", "avg(ap)"), ("gm_map", "exp(avg(ln(greatest(ap, 1e-5))))")))
 
 
 def judged_rank(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ have the fields of its format stops the query with its text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GAP = r"[ \t\r\x0B\f]+"
@@ -26,9 +26,9 @@ def _fields(lines: DataFrame, names: list[str], what: str, exact: bool = True) -
 
 def unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     """df; a key that occurs twice stops the query."""
-    again = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
-    found = again.select(F.raise_error(F.concat(F.lit(f"{what} twice: "), F.concat_ws(" ", *keys))).cast("string").alias("_e"))
-    return df.join(found.limit(1), F.lit(True), "left_anti")
+    n = F.count("*").over(Window.partitionBy(*keys))
+    wrong = F.raise_error(F.concat(F.lit(f"{what} twice: "), F.concat_ws(" ", *keys))).cast("boolean")
+    return df.withColumn("_n", n).where(F.when(F.col("_n") > 1, wrong).otherwise(True)).drop("_n")
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:

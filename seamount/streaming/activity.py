@@ -23,7 +23,7 @@ def dwell(opens: DataFrame, closes: DataFrame, most: str = "1 hour", late: str =
     a = opens.withWatermark("ts", late).select(F.col("user_id"), F.col("doc_id"), F.col("ts").alias("opened"))
     b = closes.withWatermark("ts", late).select(F.col("user_id").alias("u"), F.col("doc_id").alias("d"), F.col("ts").alias("closed"))
     joined = a.join(b, F.expr(f"user_id = u AND doc_id = d AND closed >= opened AND closed <= opened + interval {most}"))
-    return joined.select("user_id", "doc_id", "opened", (F.unix_micros("closed") - F.unix_micros("opened")).alias("dwell_us"))
+    return joined.select("user_id", "doc_id", "opened", F.timestamp_diff("MICROSECOND", "opened", "closed").alias("dwell_us"))
 
 
 def latest(counts: DataFrame) -> DataFrame:
