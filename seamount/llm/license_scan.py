@@ -79,7 +79,7 @@ HINT = r"licen|copyright|rights reserved|warrant|permi|redistribut|program|softw
 STEPS = [
     (r"[\"'`*#“”‘’]+|//|/\*|\*/|--", ""),
     (r"https?://[^ \t]+", "<url>"),
-    (r"^(copyright|©|\(c\))( copyright)?( \(c\)| ©)?[ \t]*[0-9][0-9, -]*.*$", "copyright <holder>"),
+    (r"^[ \t]*(copyright|©|\(c\))( copyright)?( \(c\)| ©)?[ \t]*[0-9][0-9, -]*.*$", "copyright <holder>"),
     (r"[ \t\r\f]+", " "),
     (r"^[ ;:,.!?-]+|[ ;:,.!?]+$", ""),
 ]
