@@ -7,7 +7,7 @@ an empty set and are linked with nothing. Shingles are 64-bit hashes, sets are n
 The work is done on *classes*: documents with equal sets are one class, however many there are, so exact
 copies never meet in a bucket. In each bucket a pivot (the least class) is compared with every other member:
 linear work. Only in buckets whose members then still lie in different components, blocks of members meet in
-a task. It compares signatures, each pair only in the first bucket that it shares, and verifies on the full
+a task. It compares signatures, each pair only in the first bucket that it shares (by the bucket's key), and verifies on the full
 sets those pairs across components whose signatures admit the threshold, the most alike first; what the links
 found so far connect is passed over. Only links leave the task, fewer than it has members. No bucket is capped
 and no member is dropped.
@@ -74,12 +74,12 @@ def minima(items: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 512) ->
     return low
 
 
-def _signatures(hashes: int, rows: int, k: int):
+def _signatures(hashes: int, rows: int, k: int, ids: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _universal(hashes)
         for whole in batches:
             for batch in slices(whole):
-                keys, sizes, sigs, bands = [], [], [], []
+                keys, sizes, sigs, bands, marks = [], [], [], [], []
                 for text in texts(batch):
                     s = shingle_hashes(text, k)
                     sizes.append(len(s))
@@ -88,12 +88,14 @@ def _signatures(hashes: int, rows: int, k: int):
                         m = minima(s, a, b)
                         sigs.append(m.astype(np.uint8).tobytes())  # the low bytes: enough to compare
                         bands.append([xxhash.xxh64_intdigest(m[i : i + rows].tobytes(), i) - (1 << 63) for i in range(0, hashes, rows)])
+                        marks.append(np.array(bands[-1], np.int64).tobytes())  # the bands again, as _candidates reads them
                     else:
                         sigs.append(None)
                         bands.append(None)
+                        marks.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "key", "n_shingles", "sig", "bands"],
+                    [*map(batch.column, ids), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    [*ids, "key", "n_shingles", "sig", "bands", "marks"],
                 )
 
     return run
@@ -110,10 +112,12 @@ def _sets(k: int):
     return run
 
 
-def _candidates(left: list[dict], right: list[dict], same: bool, band: int, rows: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(left: list[dict], right: list[dict], same: bool, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (left, right) and their agreement: across components, admitted, and not met in an earlier band."""
     ls = np.frombuffer(b"".join(x["sig"] for x in left), np.uint8).reshape(len(left), -1)
     rs = ls if same else np.frombuffer(b"".join(x["sig"] for x in right), np.uint8).reshape(len(right), -1)
+    lm = np.frombuffer(b"".join(x["marks"] for x in left), np.int64).reshape(len(left), -1)
+    rm = lm if same else np.frombuffer(b"".join(x["marks"] for x in right), np.int64).reshape(len(right), -1)
     names = {c: i for i, c in enumerate({x["comp"] for x in left} | {x["comp"] for x in right})}
     lc, rc = (np.array([names[x["comp"]] for x in side]) for side in (left, right))
     found = []
@@ -121,11 +125,10 @@ def _candidates(left: list[dict], right: list[dict], same: bool, band: int, rows
         first = i + 1 if same else 0
         near = np.flatnonzero(rc[first:] != lc[i]) + first
         if len(near):
-            equal = rs[near] == row
-            alike = equal.mean(axis=1)
-            near, equal, alike = (x[alike >= threshold] for x in (near, equal, alike))
+            alike = (rs[near] == row).mean(axis=1)
+            near, alike = (x[alike >= threshold] for x in (near, alike))
             if len(near) and band:
-                fresh = ~equal[:, : band * rows].reshape(len(near), band, rows).all(axis=2).any(axis=1)
+                fresh = ~(rm[near, :band] == lm[i, :band]).any(axis=1)  # by the keys of the buckets: equal low bytes don't make a bucket
                 near, alike = near[fresh], alike[fresh]
             found.append((np.full(len(near), i), near, alike))
     if not found:
@@ -142,24 +145,24 @@ def _sides(r: dict) -> tuple[list[dict], list[dict], bool]:
 CELL = "band bigint, at int, i bigint, j bigint"
 
 
-def _open(rows: int, threshold: float):
+def _open(threshold: float):
     """The members of each pair of blocks that stand in a candidate pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 left, right, same = _sides(r)
-                a, b, _ = _candidates(left, right, same, r["at"], rows, threshold)
+                a, b, _ = _candidates(left, right, same, r["at"], threshold)
                 for x in [left[i] for i in set(a.tolist()) | (set(b.tolist()) if same else set())] + ([] if same else [right[i] for i in set(b.tolist())]):
-                    out.append((r["band"], r["at"], r["i"], r["j"], x["key"], x["comp"], x["block"], x["sig"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], k) for n, k in enumerate(kinds)], ["band", "at", "i", "j", "key", "comp", "block", "sig"])
+                    out.append((r["band"], r["at"], r["i"], r["j"], x["key"], x["comp"], x["block"], x["sig"], x["marks"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], k) for n, k in enumerate(kinds)], ["band", "at", "i", "j", "key", "comp", "block", "sig", "marks"])
 
     return run
 
 
-def _links(rows: int, threshold: float, percent: int):
+def _links(threshold: float, percent: int):
     """Verified links between components, as many as connect what is linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +180,7 @@ def _links(rows: int, threshold: float, percent: int):
                         x = parent[x]
                     return x
 
-                a, b, alike = _candidates(left, right, same, r["at"], rows, threshold)
+                a, b, alike = _candidates(left, right, same, r["at"], threshold)
                 for k in np.argsort(-alike, kind="stable"):
                     x, y = left[a[k]], right[b[k]]
                     p, q = root(x["comp"]), root(y["comp"])
@@ -263,11 +266,11 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, h
     the document whose id is its component's, and for documents without an id that can be given.
     """
     documents = documents.select("doc_id", "text")
-    signed = save(documents.mapInArrow(_signatures(hashes, rows, k), "doc_id bigint, key binary, n_shingles bigint, sig binary, bands array<bigint>"), "signatures")
+    signed = save(documents.mapInArrow(_signatures(hashes, rows, k, ["doc_id"]), "doc_id bigint, key binary, n_shingles bigint, sig binary, bands array<bigint>, marks binary"), "signatures")
     docs = signed.select("doc_id", "key", "n_shingles")
     classes = save(docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
     first = (F.col("s.key") == F.col("c.key")) & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id"))
-    one = signed.alias("s").join(classes.alias("c"), first, "left_semi").select("key", "sig", "bands")
+    one = signed.alias("s").join(classes.alias("c"), first, "left_semi").select("key", "sig", "bands", "marks")
     banded = one.select("key", F.posexplode("bands").alias("at", "band"))
     pivots = banded.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("most")).where("pivot <> most").select("band", "pivot")
     members = save(banded.join(pivots, "band"), "members")  # only buckets with two classes or more
@@ -280,7 +283,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, h
     at = others.join(comps, others["key"] == comps["node"], "left").select("at", "band", "key", F.coalesce("comp", "key").alias("comp"))
     mixed = at.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band")
     rest = save(at.join(mixed, "band", "left_semi"), "rest")
-    more = save(_residual(rest, one, documents, classes, k, rows, percent), "links")
+    more = save(_residual(rest, one, documents, classes, k, percent), "links")
     comps = star_components(links.union(more))
 
     least = classes.join(comps, classes["key"] == comps["node"], "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id")
@@ -291,7 +294,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, h
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _residual(rest: DataFrame, signed: DataFrame, documents: DataFrame, holders: DataFrame, k: int, rows: int, percent: int) -> DataFrame:
+def _residual(rest: DataFrame, signed: DataFrame, documents: DataFrame, holders: DataFrame, k: int, percent: int) -> DataFrame:
     """Links across components in the given buckets, block against block.
 
     A bucket's members are dealt to blocks of about BLOCK by their key; pairs of blocks are rows of their
@@ -302,12 +305,12 @@ def _residual(rest: DataFrame, signed: DataFrame, documents: DataFrame, holders:
     cell = ["band", "at", "i", "j"]
     sizes = rest.groupBy("band").agg(F.count("*").alias("n")).select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     dealt = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    sigs = signed.join(rest.select("key").distinct(), "key", "left_semi").select("key", "sig").dropDuplicates(["key"])
+    sigs = signed.join(rest.select("key").distinct(), "key", "left_semi").select("key", "sig", "marks").dropDuplicates(["key"])
     sent = dealt.join(sigs, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     ends = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    cells = sent.select("band", "at", *ends, F.struct("key", "comp", "block", "sig").alias("m")).groupBy(*cell).agg(F.collect_list("m").alias("members"))
+    cells = sent.select("band", "at", *ends, F.struct("key", "comp", "block", "sig", "marks").alias("m")).groupBy(*cell).agg(F.collect_list("m").alias("members"))
     some = F.aggregate("members", F.lit(False), lambda a, m: a | (m["comp"] != F.col("members")[0]["comp"]))
-    opened = save(cells.where(some).mapInArrow(_open(rows, threshold), f"{CELL}, key binary, comp binary, block bigint, sig binary"), "open")
+    opened = save(cells.where(some).mapInArrow(_open(threshold), f"{CELL}, key binary, comp binary, block bigint, sig binary, marks binary"), "open")
     sets = save(_sets_of(opened.select("key").distinct(), documents, holders, k), "sets")
-    full = opened.join(sets, "key").select(*cell, F.struct("key", "comp", "block", "sig", "items").alias("m"))
-    return full.groupBy(*cell).agg(F.collect_list("m").alias("members")).mapInArrow(_links(rows, threshold, percent), "src binary, dst binary")
+    full = opened.join(sets, "key").select(*cell, F.struct("key", "comp", "block", "sig", "marks", "items").alias("m"))
+    return full.groupBy(*cell).agg(F.collect_list("m").alias("members")).mapInArrow(_links(threshold, percent), "src binary, dst binary")
