@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
@@ -61,8 +64,32 @@ def read_crawl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_crawl(records: DataFrame, path: str) -> None:
-    """Merges records into what is at ``path`` (by image_url, new ones win) and replaces it."""
-    records.dropDuplicates(["image_url"]).write.mode("overwrite").json(path)
+    """Merges records into what is at ``path`` (by image_url, new ones win) and replaces it.
+
+    Of records with the same image_url in one call the greatest stays. The merged records are written beside the old
+    ones, which are only taken away once that is done.
+    """
+    spark = records.sparkSession
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    merged = records.groupBy("image_url").agg(F.max(F.struct(*records.columns)).alias("r")).select("r.*")
+    there = fs.exists(of(path))
+    if there and fs.getFileStatus(of(path)).isFile():
+        old = read_crawl(spark, path)
+    elif there:
+        known = spark.read.json(path).schema
+        old = spark.read.schema(StructType([*records.schema, *[f for f in known if f.name not in records.columns]])).json(path)
+    if there:
+        kept = old.alias("o").join(merged.alias("n"), F.col("o.image_url").eqNullSafe(F.col("n.image_url")), "left_anti")
+        merged = merged.unionByName(kept, allowMissingColumns=True)
+    beside, before = (f"{path.rstrip('/')}.{name}-{uuid.uuid4().hex}" for name in ("new", "old"))
+    merged.write.json(beside)
+    if there and not fs.rename(of(path), of(before)):
+        raise OSError(f"can't move {path}")
+    if not fs.rename(of(beside), of(path)):
+        raise OSError(f"can't move {beside} to {path}; the records of before are in {before}")
+    if there:
+        fs.delete(of(before), True)
 
 
 def write_index(index: dict[str, DataFrame], path: str) -> None:
