@@ -1,7 +1,7 @@
 """Main text of web pages: a bidirectional LSTM in numpy labels every block of a page as content or not.
 
 A page is cut into leaf blocks: runs of text between block-level tags, in page order, outside scripts, styles,
-templates and comments. A block's vector holds hashed tags, classes and ids of its path, hashed words, and
+templates, svg drawings and comments. A block's vector holds hashed tags, classes and ids of its path, hashed words, and
 a few numbers (length, share of links, place in the page). The network reads a page's blocks in both directions,
 so that every label depends on the whole page. Blocks labelled as content are joined by line feeds, with
 character references decoded and white space turned into single spaces; no block is cut or dropped otherwise.
@@ -44,13 +44,15 @@ SCOPES = frozenset("ul ol table dl select article section div body".split())
 ENDS_P = BLOCK_TAGS - frozenset("label button select option textarea input noscript iframe object html head body".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|svg|math|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|template|noembed|noframes)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<xmp(?=[\s/>])[^>]*>(?P<raw>.*?)(?:</xmp\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/<>]*)(?P<rest2>[^<>]*)>",
     re.S | re.I,
 )
+SVG_END = re.compile(r"</svg\s*>", re.I)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|data-y)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 Block = tuple[tuple[str, ...], str, float, str]  #: path, text, share of it in links, label (in training pages)
@@ -80,20 +82,29 @@ def blocks_of(page: str) -> list[Block]:
             if stack[i][0] in scopes:
                 return
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, svg_ends = 0, True
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
             if state[0]:
                 state[1] += len(text)
         at = m.end()
-        end, tag, rest = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        if m["raw"]:
+            text = html.escape(m["raw"])  # as it stands: neither tags nor references in it mean anything
+            parts.append(text)
+            if state[0]:
+                state[1] += len(text)
+        end, tag, rest = (m["end"], m["tag"], m["rest"]) if m["tag"] else (m["end2"], m["tag2"], m["rest2"])
         if not tag:
             continue  # a comment, a script or the like: it leaves no trace in the text
         tag = tag.lower()
         if tag == "br":
             parts.append(" ")
+        elif tag == "svg":  # '<svg .../>', and one without an end, is only a tag
+            if not end and not rest.endswith("/") and svg_ends:
+                stop = SVG_END.search(page, at)
+                at, svg_ends = (stop.end() if stop else at), bool(stop)
         elif tag == "a":
             state[0] = 0 if end else 1
         elif tag in BLOCK_TAGS:
