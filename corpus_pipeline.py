@@ -7,11 +7,10 @@ DataFrame; it is written as Parquet and read again as the next one's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from seamount.llm import decontaminate, line_crf, mixing
 from seamount.llm.common import save, table
-from seamount.llm.near_dedup import near_duplicates
+from seamount.llm.near_dedup import one_of_each
 from seamount.llm.queries import tokenizer_path
 from seamount.llm.token_huffman import encode_documents
 
@@ -22,14 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti").select("d.*")
+    """One row of each group of near duplicates."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Rows without a benchmark window."""
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,16 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+#: The columns of :func:`row_names`.
+ROW = ["_no_id", "_id", "_text_hash", "_row_hash"]
+
+
+def row_names(documents: DataFrame) -> list[Column]:
+    """What tells rows apart that may share a doc_id: whether it is null, the id, a hash of the text, a hash of all columns."""
+    every = [x for c in documents.columns for x in (F.col(c), F.col(c).isNull())]  # a hash passes over nulls
+    return [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("bigint")), F.xxhash64("text", F.col("text").isNull()), F.xxhash64(*every)]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

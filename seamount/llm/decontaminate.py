@@ -43,8 +43,8 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.select("item_id", "w", starts).select("item_id", F.expr(f"slice(w, i, {window})").alias("words")).distinct()
 
 
-def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
+def _occurrences(documents: DataFrame, items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The windows, the places of their shingles, where windows stand in documents (doc_id, text_hash), the number of shingles."""
     pairs = save(windows_of(items, window), "windows")
     shapes = pairs.groupBy("words").agg(F.min(F.least(F.size("words"), F.lit(shingle))).alias("k"), F.xxhash64("words").alias("window_id"))
     # at most `shingle` sizes: those of items shorter than a shingle, and the shingle's own
@@ -78,8 +78,12 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     start = F.col("pos") - F.col("offset")
     found = places.where("k > 0").join(bounded_broadcast(prefix, n_parts), ["k", "h"]).where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
     found = found.where(F.slice("around", start - F.col("low") + 1, F.col("size")) == F.col("words"))
-    found = save(found.select("doc_id", "text_hash", start.alias("start"), "size", "words"), "occurrences")
+    return pairs, places, save(found.select("doc_id", "text_hash", start.alias("start"), "size", "words"), "occurrences"), n_parts
 
+
+def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
+    pairs, places, found, n_parts = _occurrences(documents, items, window, shingle)
     key = ["doc_id", "text_hash"]
     ends = F.max(F.col("start") + F.col("size")).over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     spans = found.groupBy(*key, "start").agg(F.max("size").alias("size"))
@@ -104,11 +108,22 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
 
 
 def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that contain no window of any item."""
+    """The documents, with all their columns, without those whose doc_id has a text with a window of an item.
+
+    It decides by doc_id; :func:`clean_rows` decides by document.
+    """
     hit = contamination(documents, items).where("contaminated").select("doc_id").distinct()
     return documents.alias("d").join(hit.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_anti")
 
 
+def clean_rows(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The documents, with all their columns, that contain no window of any item; others with their doc_id don't matter."""
+    _, _, found, _ = _occurrences(documents, items, window, shingle)
+    tag = lambda text_hash: [F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), text_hash.alias("_text_hash")]
+    hit = found.select(*tag(F.col("text_hash"))).distinct()
+    return documents.select("*", *tag(F.xxhash64("text"))).join(hit, ["_no_id", "_id", "_text_hash"], "left_anti").select(*documents.columns)
+
+
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, save, slices, texts
+from .common import ROW, bounded_broadcast, row_names, save, slices, texts
 
 HASHES = 128
 ROWS = 4  #: minima in a band; HASHES / ROWS bands
@@ -259,15 +259,12 @@ def star_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(edges.select(F.col("lo"), F.col("lo"))).distinct()
 
 
-def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
-
-    Documents are linked if 100 * intersection >= percent * union of their shingle sets. kept is true for
-    the document whose id is its component's, and for documents without an id that can be given.
-    """
-    documents = documents.select("doc_id", "text")
-    signed = save(documents.mapInArrow(_signatures(hashes, rows, k, ["doc_id"]), "doc_id bigint, key binary, n_shingles bigint, sig binary, bands array<bigint>, marks binary"), "signatures")
-    docs = signed.select("doc_id", "key", "n_shingles")
+def _components(documents: DataFrame, percent: int, k: int, hashes: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(the columns but text, key, n_shingles) of each document, and (key, comp, least doc_id) of each class."""
+    ids = [c for c in documents.columns if c != "text"]
+    kinds = ", ".join(f"{c} {dict(documents.dtypes)[c]}" for c in ids)
+    signed = save(documents.mapInArrow(_signatures(hashes, rows, k, ids), f"{kinds}, key binary, n_shingles bigint, sig binary, bands array<bigint>, marks binary"), "signatures")
+    docs = signed.select(*ids, "key", "n_shingles")
     classes = save(docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
     first = (F.col("s.key") == F.col("c.key")) & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id"))
     one = signed.alias("s").join(classes.alias("c"), first, "left_semi").select("key", "sig", "bands", "marks")
@@ -287,6 +284,16 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, h
     comps = star_components(links.union(more))
 
     least = classes.join(comps, classes["key"] == comps["node"], "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id")
+    return docs, least
+
+
+def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
+
+    Documents are linked if 100 * intersection >= percent * union of their shingle sets. kept is true for
+    the document whose id is its component's, and for documents without an id that can be given.
+    """
+    docs, least = _components(documents.select("doc_id", "text"), percent, k, hashes, rows)
     ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_key = least.select("key", "comp").join(ids, "comp").select("key", "component_id")
     out = docs.join(by_key, "key", "left")
@@ -294,6 +301,24 @@ def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, h
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def one_of_each(documents: DataFrame, percent: int = 80, k: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+    """The documents, with all their columns, but one row only of each component of near duplicates.
+
+    Of a component, the row with the least doc_id stays (null last), then the one with the least hashes of its text
+    and of all columns; of rows that are the same in all columns, one. Rows without words are linked with nothing and stay.
+    """
+    names = documents.columns
+    known = documents.withColumns({c: v for c, v in zip(ROW, row_names(documents), strict=True)})
+    docs, least = _components(known.select("doc_id", *ROW, "text"), percent, k, hashes, rows)
+    placed = save(docs.where("key is not null").join(least.select("key", "comp"), "key").groupBy("comp", *ROW).agg(F.count("*").alias("n")), "placed")
+    stays = placed.groupBy("comp").agg(F.min(F.struct(*ROW)).alias("least"))
+    marked = placed.join(stays, "comp").select(*ROW, (F.struct(*ROW) == F.col("least")).alias("stays"), "n")
+    marked = save(marked.where("n > 1 or not stays"), "marked")
+    again = bounded_broadcast(marked.where("stays").select(*ROW))
+    single = known.join(marked.select(*ROW), ROW, "left_anti").select(*names)
+    return single.union(known.join(again, ROW, "left_semi").dropDuplicates(ROW).select(*names))
+
+
 def _residual(rest: DataFrame, signed: DataFrame, documents: DataFrame, holders: DataFrame, k: int, percent: int) -> DataFrame:
     """Links across components in the given buckets, block against block.
 
