@@ -1,6 +1,8 @@
 """License recognition by sentences: normalised sentences to identifiers, identifier sequences to ordered rules.
 
-A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` with white space behind. A sentence is
+Known sentences that begin where a sentence can begin are found first, however their lines are wrapped and with
+whatever comment marks before the lines (``WHOLE``), and are sentences of their own. The rest of a text is cut into
+sentences at line breaks and after ``.``, ``!`` or ``?`` with white space behind. A sentence is
 normalised: lower-cased, comment marks and quotes dropped, years, addresses and holders of copyright lines
 replaced by a place holder, white space and end marks trimmed. Known normalised sentences have identifiers
 (``SENTENCES``). The rules (``RULES``) are tried in order on the sequence of a document's identifiers: a rule is a
@@ -15,6 +17,8 @@ doc_ids and extra columns don't matter.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +89,39 @@ STEPS = [
 ]
 
 
+#: Sentences in full whose beginnings are in ``SENTENCES``.
+WHOLE = {
+    "MITGRANT": ["permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions"],
+    "ASIS": ["the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"],
+}
+#: Stands for a sentence that was found as a whole, around its identifier.
+FOUND = "\x02"
+QUOTES = r"[\"'`*“”‘’]*"
+#: Between words: white space, with line breaks and comment marks.
+GAP = r"(?:[\s\"'`*“”‘’#%;|>]|//|/\*|\*/|--|(?i:\b(?:rem|dnl)\b))+"
+#: Where a sentence can begin and end. Comment marks before it go with it.
+BEGIN = rf"(^|\n|{MARK}|[.!?:;)][\"'”’)]*[ \t\r\f]+|https?://[^\s>]+>?[ \t\r\f]+)(?:[ \t\r\f\"'`*“”‘’#%;|>]|//|/\*|\*/|--)*"
+END = rf"{QUOTES}(?:[.!?;:]+(?=[\s\"'”’)]|{MARK}|\*/|--|$)|(?=[ \t\r\f]*(?:\n|{MARK}|\*/|--|$)))"
+
+
+def anywhere(sentence: str, words: int = 0) -> str:
+    """A pattern of a normalised sentence (or its first words) in texts, over the ends of lines."""
+    out = []
+    for word in sentence.split()[: words or None]:
+        parts = re.findall(r"<url>|[a-z0-9]+(?:[./-][a-z0-9]+)*|[^a-z0-9]", word)
+        out.append(QUOTES.join(r"<?https?://[^\s>]+>?" if x == "<url>" else re.escape(x) for x in parts))
+    return GAP.join(out)
+
+
+def whole_sentences(text: Column, sentences: dict[str, list[str]]) -> Column:
+    """A text in which known sentences are replaced by their identifiers between FOUND and stand for themselves."""
+    out = F.replace(text, F.lit(FOUND), F.lit(""))
+    pairs = [(x, name) for name, own in sentences.items() for x in own if "<holder>" not in x]
+    for x, name in sorted(pairs, key=lambda p: -len(p[0])):
+        out = F.regexp_replace(out, f"(?i){BEGIN}{anywhere(x)}{END}", f"$1{MARK}{FOUND}{name}{FOUND}{MARK}")
+    return out
+
+
 def sentences_of(text: Column) -> Column:
     """The sentences of a text that aren't blank."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\r\f]+|\n", "$1" + MARK)
@@ -100,9 +137,14 @@ def normalised(sentence: Column) -> Column:
 
 def scan(documents: DataFrame, sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     known = F.create_map(*[F.lit(x) for name, own in sentences.items() for s in own for x in (s, name)])
-    cut = documents.select("doc_id", sentences_of(F.col("text")).alias("s"))
-    hinted = F.filter("s", lambda s: s.rlike("(?i)" + HINT))
-    ids = F.filter(F.transform(hinted, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
+    every = {name: [*own, *WHOLE.get(name, [])] for name, own in sentences.items()}
+    starts = sorted({anywhere(x, 3) for own in every.values() for x in own if "<holder>" not in x})
+    some = F.coalesce(F.col("text").rlike("(?i)" + "|".join(starts)), F.lit(False))
+    asked = documents.select("doc_id", "text", some.alias("some"))
+    cut = asked.select("doc_id", "some", sentences_of(F.when(F.col("some"), whole_sentences(F.col("text"), every)).otherwise(F.col("text"))).alias("s"))
+    whole = lambda s: F.col("some") & s.startswith(FOUND)
+    hinted = F.filter("s", lambda s: whole(s) | s.rlike("(?i)" + HINT))
+    ids = F.filter(F.transform(hinted, lambda s: F.when(whole(s), F.replace(s, F.lit(FOUND), F.lit(""))).otherwise(F.try_element_at(known, normalised(s)))), lambda x: x.isNotNull())
     rows = cut.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.array_join(ids, ",").alias("sentence_ids"))
     # the sequence as ,A,,B,: one string replacement is a rule
     left, found = F.concat(F.lit(","), F.replace(F.col("sentence_ids"), F.lit(","), F.lit(",,")), F.lit(",")), []
