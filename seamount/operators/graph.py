@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from seamount.functions import text as T
 
 
+#: What holds no links, whatever stands in it: comments, scripts and styles.
+NO_LINKS = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])|\z)"
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)"""
+#: An a tag with an href, over the attributes before it; its value with its quotes, empty if there is none.
+LINK = rf"""(?is)<a(?=[\s/])(?:[\s/"']*+(?!href(?![^\s=/>]))[^\s=>/"']++(?:\s*+=\s*+{_VALUE})?+)*+[\s/"']*+href(?![^\s=/>])(?:\s*+=\s*+({_VALUE}))?+"""
+
+
 def links(pages: DataFrame) -> DataFrame:
     """page_id, src, href, url: each link of each page, as written and resolved."""
-    found = F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r'<a [^>]*?href="([^"]*)"'), F.lit(1)))
-    return pages.select("page_id", F.col("url").alias("src"), found.alias("href")).withColumn("url", T.absolute_url("src", "href"))
+    found = F.explode(F.regexp_extract_all(F.regexp_replace(F.coalesce("html", F.lit("")), NO_LINKS, " "), F.lit(LINK), F.lit(1)))
+    rows = pages.select("page_id", F.col("url").alias("src"), found.alias("href"))
+    return rows.withColumn("href", F.regexp_replace("href", r"""(?s)^(["'])(.*)\1$""", "$2")).withColumn("url", T.absolute_url("src", "href"))
 
 
 def followed(href: Column, url: Column, prefix: str) -> Column:
