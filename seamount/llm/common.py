@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,20 +22,53 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a new folder of this machine serves a local session; on a cluster, whose executors
+    wouldn't see that folder, a ValueError is raised. The session's settings stay as they are.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="seamount-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="seamount-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
 
 
-def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet in the shared folder and reads it back with its schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_local: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """Writes ``df`` as Parquet and reads it back with its schema."""
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Cuts lineage: :func:`write` to a new path of the shared folder."""
+    path = new_path(df.sparkSession, name)
+    out = write(df, path, codec)
+    out._saved_at = path  # for forget
+    return out
+
+
+def forget(*saved: DataFrame) -> None:
+    """Removes tables of :func:`save` that nothing reads any more."""
+    for df in saved:
+        remove(df.sparkSession, df._saved_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

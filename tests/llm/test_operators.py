@@ -36,7 +36,7 @@ def test_token_ids(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
+    assert t.encode("a<|endoftext|>b", add_special_tokens=False).ids[1] == 50256
     got = token_huffman.encode_documents(docs(spark, TEXTS), tokenizer_path()).collect()
     assert len(got) == len(TEXTS)
     at = 0
@@ -52,11 +52,51 @@ def test_token_ids(spark):
 def test_pieces_of_texts():
     e = token_huffman.encoder(tokenizer_path())
     parts = ["a", " ", "\n", "b.", "  ", "\t", "é", "'s", "12", "Ġ", "Ċ", "!?", "\r\n", "\x85", "#x"]
-    texts = ["".join(p) for n in range(1, 5) for p in itertools.product(parts, repeat=n) if n < 4 or hash(p) % 11 == 0]
+    texts = ["".join(p) for n in range(1, 5) for p in itertools.product(parts, repeat=n) if n < 4 or zlib.crc32(repr(p).encode()) % 11 == 0]
+    texts += ["", "a <|endoftext|> b", "<|endoftext|>", "\x1c b", "b \u3000c", "c\u3000 d"]
     for text, raw in zip(texts, e.encode(texts), strict=True):
         assert np.frombuffer(raw, e.kind).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_slices():
+    import pyarrow as pa
+
+    e = token_huffman.Encoder(tokenizer_path())
+    e.KEEP = 3  # what is remembered is forgotten again and again
+    own = ["one two", None, "", "three. two!\nfour", " \n x", "one"]
+    for _ in range(3):
+        flat, sizes = e.encode_array(pa.array(own).slice(1), b"\x07\x00")
+        want = [[*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in own[1:]]
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
+    assert [x.tolist() for x in e.encode_array(pa.array([], pa.string()), b"\x07\x00")] == [[], []]
+
+
+def test_other_files_are_encoded_whole(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    e = token_huffman.Encoder(str(tmp_path / "t.json"))
+    texts = ["one two\nthree", "", "a"]
+    assert not e.apart and [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_files_are_read_without_what_wrote_them(spark):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    folder = token_huffman.write_ids(docs(spark, TEXTS), tokenizer_path())
+    program = (
+        "import sys; from pyspark.sql import SparkSession; from seamount.llm.token_huffman import read_ids\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "print(sorted(tuple(r)[1:] for r in read_ids(s, sys.argv[1]).collect()))"
+    )
+    out = subprocess.run([sys.executable, "-c", program, folder], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], check=True).stdout
+    assert out.strip().splitlines()[-1] == str(sorted(tuple(r)[1:] for r in token_huffman.read_ids(spark, folder).collect()))
+
+
 @pytest.mark.parametrize("counts", [[0], [5], [1, 1], [3, 0, 1, 7, 7, 100000], list(range(1, 400)), [2**i for i in range(40)]])
 def test_code(counts):
     counts = np.array(counts, np.int64)
