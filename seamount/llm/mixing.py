@@ -7,9 +7,10 @@ target passes ``cap`` times its source's size, and what is cut off goes to the o
 A source takes whole epochs of all its documents first. What is left of its target is filled with documents in
 the order of their exponential keys ``-ln(u) / quality weight``; u is a hash of the id and the text, so that
 reruns agree. The last document is taken if that brings the sum nearer to the target. Repeated rows have equal
-keys and are taken together. Nulls in any column are values like others.
+keys and are taken together. Nulls in any column are values like others. The quality weight is a column that the caller may give.
 
-No source is sorted as a whole: keys are counted in narrow logarithmic bins, the bin in which the target falls
+The sources may be many: they are numbered over ranges of their names, and the level of the targets is found by rounds
+of one sum each; a round caps all sources whose cap is below the level. No source is sorted as a whole: keys are counted in narrow logarithmic bins, the bin in which the target falls
 is found from the bins' sums, and only its rows are sorted. The result needs one cut for each source.
 """
 
@@ -41,37 +42,52 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.05), 1.0 - 4.0 * marks), F.lit(1.0))
 
 
-def exponential_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+def exponential_key(doc_id: Column, text: Column, seed: str = SEED, weight: Column | None = None) -> Column:
+    """weight: the document's quality weight, over 0; :func:`quality_weight` if it isn't given."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return -F.ln(u) / quality_weight(text)
-
-
-def keyed(documents: DataFrame) -> DataFrame:
-    """Adds the columns the plan needs: _size, _key, _source and _null (whether source is null)."""
-    return documents.withColumns(
-        {
-            "_size": size_of(F.col("text")),
-            "_key": exponential_key(F.col("doc_id"), F.col("text")),
-            "_source": F.coalesce("source", F.lit("")),
-            "_null": F.col("source").isNull(),
-        }
+    return -F.ln(u) / (quality_weight(text) if weight is None else weight)
+
+
+def keyed(documents: DataFrame, weight: Column | None = None) -> DataFrame:
+    """The columns of the documents as _row, and those that the plan needs: _size, _key, _source and _null (whether source is null)."""
+    return documents.select(
+        F.struct(*documents.columns).alias("_row"),
+        size_of(F.col("text")).alias("_size"),
+        exponential_key(F.col("doc_id"), F.col("text"), weight=weight).alias("_key"),
+        F.coalesce("source", F.lit("")).alias("_source"),
+        F.col("source").isNull().alias("_null"),
     )
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """Adds _i, the place of each source in code point order, null last: counted over ranges, a row of the window for each range."""
+    n = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = save(sizes.repartitionByRange(n, "_null", "_source").withColumn("_part", F.spark_partition_id()), "sources")
+    before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_null", "_source"))
+    return ranges.join(F.broadcast(counts), "_part").withColumn("_i", F.col("_before") + within - 1).drop("_part", "_before")  # one row a partition
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float = SHARE_PERCENT, cap: float = CAP) -> DataFrame:
-    """_null, _source, source_size -> with target. One row for each source; the windows run over sources only."""
-    order = Window.partitionBy().orderBy("_null", "_source")
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    whole = Window.partitionBy()
-    t = sizes.withColumn("_w", w).withColumn("_cap", cap * F.col("source_size").cast("double"))
-    # the level at which a source's cap is met rises with cap / weight; sources below the common level are capped
-    before = Window.partitionBy().orderBy(F.col("_cap") / F.col("_w"), "_null", "_source").rowsBetween(Window.unboundedPreceding, -1)
-    left = percent / 100 * F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    level = left / (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    t = t.withColumn("_level", level)
-    common = F.min(F.when(F.col("_cap") / F.col("_w") > F.col("_level"), F.struct(F.col("_cap") / F.col("_w"), F.col("_level").alias("at")))).over(whole)["at"]
-    target = F.when(common.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), common * F.col("_w")))
+    """_null, _source, source_size -> with target. One row for each source."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_i") % len(weights) + 1).cast("int"))
+    t = save(_numbered(sizes).select("_null", "_source", "source_size", w.alias("_w"), (cap * F.col("source_size").cast("double")).alias("_cap")), "weights")
+    # sources whose cap is below the common level are capped; that raises the level of the others
+    total = t.agg(F.sum("source_size")).first()[0] or 0
+    level = None
+    while True:
+        below = F.lit(False) if level is None else F.col("_cap") <= level * F.col("_w")
+        capped, left = t.agg(F.sum(F.when(below, F.col("_cap")).otherwise(0.0)), F.sum(F.when(below, 0.0).otherwise(F.col("_w")))).first()
+        if not left:
+            level = None
+            break
+        raised = (percent / 100 * total - capped) / left
+        if level is not None and raised <= level:
+            break
+        level = raised
+    target = F.col("_cap") if level is None else F.least(F.col("_cap"), F.lit(level) * F.col("_w"))
     return t.select("_null", "_source", "source_size", target.alias("target"))
 
 
@@ -110,16 +126,15 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float =
 
 def mix_report(documents: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words that the mix takes of the document)."""
-    rows = save(keyed(documents.select("doc_id", "source", "text")).drop("text"), "sizes")
+    rows = save(keyed(documents.select("doc_id", "source", "text")).select("_row.doc_id", "_row.source", "_size", "_key", "_source", "_null"), "sizes")
     return mix(rows).select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
-def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with their own columns."""
-    names = documents.columns
-    rows = keyed(documents)
+def mixed_documents(documents: DataFrame, weight: Column | None = None) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with their own columns. weight: their quality weights."""
+    rows = keyed(documents, weight)
     out = mix(rows, measured=save(rows.select("_null", "_source", "_size", "_key"), "sizes"))
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    return out.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 SQL = r"""
