@@ -76,6 +76,11 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+def decisions(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Narrow rows that decide about documents: broadcast within ``limit``, otherwise hashed where texts are shuffled to them."""
+    return F.broadcast(df) if df.count() <= limit else df.hint("shuffle_hash")
+
+
 #: The columns of :func:`row_names`.
 ROW = ["_no_id", "_id", "_text_hash", "_row_hash"]
 

@@ -7,7 +7,8 @@ contains a window if its words stand in the document in a row; the words of ever
 A window is a set of word shingles (five words; a shorter item is one shingle) at known offsets. Containment
 of the whole set means that any one of them occurs, so the prefix that has to be joined is one shingle: the
 rarest in the documents. One pass over the documents finds the places of all item shingles, with the words
-around each place; their counts give the order by rarity; places of rarest shingles are joined with their
+around each place (if the shingles are too many to broadcast, their hashes are joined alone first, and then the documents with
+a hit); their counts give the order by rarity; places of rarest shingles are joined with their
 windows, bounded by the length and position of the window, and compared word by word.
 
 DataFrame functions only. The item side is broadcast only below a checked number of rows. Rows with equal ids
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, save
+from .common import BROADCAST_ROWS, ascii_lower, bounded_broadcast, decisions, save
 
 WINDOW = 10
 SHINGLE = 5
@@ -43,8 +44,8 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return words.select("item_id", "w", starts).select("item_id", F.expr(f"slice(w, i, {window})").alias("words")).distinct()
 
 
-def _occurrences(documents: DataFrame, items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """The windows, the places of their shingles, where windows stand in documents (doc_id, text_hash), the number of shingles."""
+def _occurrences(documents: DataFrame, items: DataFrame, window: int, shingle: int, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The windows, the places of their shingles, and where windows stand in documents (doc_id, text_hash)."""
     pairs = save(windows_of(items, window), "windows")
     shapes = pairs.groupBy("words").agg(F.min(F.least(F.size("words"), F.lit(shingle))).alias("k"), F.xxhash64("words").alias("window_id"))
     # at most `shingle` sizes: those of items shorter than a shingle, and the shingle's own
@@ -53,43 +54,56 @@ def _occurrences(documents: DataFrame, items: DataFrame, window: int, shingle: i
     for k in sizes:
         by_size = F.when(F.col("k") == k, _shingles("words", k)).otherwise(by_size)
     parts = save(shapes.select("words", "k", F.posexplode(by_size).alias("offset", "h")), "shingles")
-    n_parts = parts.count()
-    wanted = bounded_broadcast(parts.select("k", "h").distinct().union(items.sparkSession.sql("select 0, 0L")), n_parts)
+    wanted = save(parts.select("k", "h").distinct(), "wanted")
+    few = wanted.count() <= limit
 
-    # one row for each document (k = 0) and each place of an item shingle; the words around a place go along
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
+    # one row for each document (k = 0) and each place of an item shingle
     marks = F.concat(F.expr("array(0L)"), *[_shingles("w", k) for k in sizes])
-    places = docs.select("doc_id", "text_hash", "w", F.posexplode(marks).alias("n", "h"))
     k, pos, before = F.lit(0), F.lit(0), F.lit(0)
     for size in sizes:  # the n-th mark is the document's own, or a shingle of the size in whose stretch it falls
         inside = F.col("n") > before
         k, pos = F.when(inside, size).otherwise(k), F.when(inside, F.col("n") - before - 1).otherwise(pos)
-        before = before + F.greatest(F.size("w") - size + 1, F.lit(0))
-    places = places.select("doc_id", "text_hash", "w", k.alias("k"), pos.alias("pos"), "h").join(wanted, ["k", "h"])
+        before = before + F.greatest(F.col("n_words") - size + 1, F.lit(0))
     low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     around = F.when(F.col("k") > 0, F.slice("w", low + 1, F.lit(2 * window + shingle)))
-    places = save(places.select("doc_id", "text_hash", F.size("w").alias("n_words"), "k", "h", "pos", low.alias("low"), around.alias("around")), "places")
+    cut = ["doc_id", "text_hash", "n_words", "k", "h", "pos", low.alias("low"), around.alias("around")]
+    if few:
+        spread = docs.select("doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode(marks).alias("n", "h"))
+        spread = spread.select("doc_id", "text_hash", "w", "n_words", k.alias("k"), pos.alias("pos"), "h")
+        places = spread.join(F.broadcast(wanted.union(wanted.sparkSession.sql("select 0, 0L"))), ["k", "h"]).select(*cut)
+    else:
+        spread = docs.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.posexplode(marks).alias("n", "h"))
+        spread = spread.select("doc_id", "text_hash", "n_words", k.alias("k"), pos.alias("pos"), "h")
+        own = spread.where("k = 0").withColumns({"low": F.lit(0), "around": F.lit(None).cast("array<string>")})
+        met = save(spread.where("k > 0").join(wanted.hint("shuffle_hash"), ["k", "h"]).distinct(), "met")
+        tag = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash"]
+        hit = met.select(*tag, "n_words", "k", "h", "pos")
+        back = docs.where("size(w) > 0").select("doc_id", *tag, "w").join(hit, ["no_id", "id", "text_hash"])
+        places = own.select("doc_id", "text_hash", "n_words", "k", "h", "pos", "low", "around").union(back.select(*cut))
+    places = save(places, "places")
 
     # the rarest shingle of each window, by its places in all documents; windows with an absent one can't occur
-    rarity = bounded_broadcast(places.where("k > 0").groupBy("k", "h").agg(F.count("*").alias("n")), n_parts)
+    met = places.where("k > 0")
+    rarity = save(met.groupBy("k", "h").agg(F.count("*").alias("n")), "rarity")  # at most a row for each wanted shingle
     order = Window.partitionBy("words").orderBy("n", "offset")
-    ranked = parts.join(rarity, ["k", "h"], "left").withColumn("r", F.row_number().over(order)).where("r = 1 and n > 0")
+    ranked = parts.join(F.broadcast(rarity) if few else rarity, ["k", "h"], "left").withColumn("r", F.row_number().over(order)).where("r = 1 and n > 0")
     prefix = ranked.select("words", F.size("words").alias("size"), "k", "h", "offset")
     start = F.col("pos") - F.col("offset")
-    found = places.where("k > 0").join(bounded_broadcast(prefix, n_parts), ["k", "h"]).where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    found = met.join(bounded_broadcast(save(prefix, "prefix"), limit=limit), ["k", "h"]).where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
     found = found.where(F.slice("around", start - F.col("low") + 1, F.col("size")) == F.col("words"))
-    return pairs, places, save(found.select("doc_id", "text_hash", start.alias("start"), "size", "words"), "occurrences"), n_parts
+    return pairs, places, save(found.select("doc_id", "text_hash", start.alias("start"), "size", "words"), "occurrences")
 
 
-def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, limit: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
-    pairs, places, found, n_parts = _occurrences(documents, items, window, shingle)
+    pairs, places, found = _occurrences(documents, items, window, shingle, limit)
     key = ["doc_id", "text_hash"]
     ends = F.max(F.col("start") + F.col("size")).over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     spans = found.groupBy(*key, "start").agg(F.max("size").alias("size"))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("size") - F.greatest("start", F.coalesce(ends, F.lit(0))))
     hits = spans.withColumn("fresh", fresh).groupBy(*key).agg(F.sum("fresh").alias("n_hit"))
-    which = found.select(*key, "words").distinct().join(bounded_broadcast(pairs, n_parts), "words").groupBy(*key).agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    which = found.select(*key, "words").distinct().join(bounded_broadcast(pairs, limit=limit), "words").groupBy(*key).agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     rows = places.where("k = 0").groupBy(*key).agg(F.max("n_words").alias("n_words"), F.count("*").alias("rows"))
     tag = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash"]
     rows = rows.select(*tag, "n_words", "rows")
@@ -107,21 +121,16 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     return out.withColumn("each", F.explode("each")).drop("each")
 
 
-def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents, with all their columns, without those whose doc_id has a text with a window of an item.
+def clean_rows(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents, with all their columns, that contain no window of any item; others with their doc_id don't matter.
 
-    It decides by doc_id; :func:`clean_rows` decides by document.
+    Texts are shuffled to the decisions only if more than ``limit`` documents contain one.
     """
-    hit = contamination(documents, items).where("contaminated").select("doc_id").distinct()
-    return documents.alias("d").join(hit.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_anti")
-
-
-def clean_rows(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The documents, with all their columns, that contain no window of any item; others with their doc_id don't matter."""
-    _, _, found, _ = _occurrences(documents, items, window, shingle)
+    _, _, found = _occurrences(documents, items, window, shingle, limit)
     tag = lambda text_hash: [F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), text_hash.alias("_text_hash")]
-    hit = found.select(*tag(F.col("text_hash"))).distinct()
-    return documents.select("*", *tag(F.xxhash64("text"))).join(hit, ["_no_id", "_id", "_text_hash"], "left_anti").select(*documents.columns)
+    hit = save(found.select(*tag(F.col("text_hash"))).distinct(), "hit")
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), *tag(F.xxhash64("text")))
+    return rows.join(decisions(hit, limit), ["_no_id", "_id", "_text_hash"], "left_anti").select("_row.*")
 
 
 SQL = r"""

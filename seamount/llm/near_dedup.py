@@ -6,12 +6,18 @@ an empty set and are linked with nothing. Shingles are 64-bit hashes, sets are n
 
 The work is done on *classes*: documents with equal sets are one class, however many there are, so exact
 copies never meet in a bucket. In each bucket a pivot (the least class) is compared with every other member:
-linear work. Only in buckets whose members then still lie in different components, blocks of members meet in
-a task. It compares signatures, each pair only in the first bucket that it shares (by the bucket's key), and verifies on the full
+linear work. Only buckets whose members then still lie in different components go on. Those with more than BLOCK
+members are divided by a further band each (a pair at the threshold shares 13 of 32 bands on average) and get pivots
+again, up to DEPTH bands. What remains is compared member by member, in blocks of members that meet in a task. It compares signatures,
+each pair only in the first buckets that it shares (by the buckets' keys), and verifies on the full
 sets those pairs across components whose signatures admit the threshold, the most alike first; what the links
 found so far connect is passed over. Only links leave the task, fewer than it has members. No bucket is capped
 and no member is dropped.
 
+What can be missed, of pairs at similarity 0.8: those that share no band (5e-8), in buckets of over BLOCK
+members those that share fewer than DEPTH (1e-5), and those whose signatures agree by five standard deviations too
+little (3e-7; ``slack=1`` compares the sets of all pairs of a bucket).
+
 Nulls: a null ``doc_id`` keeps its class but is no candidate for ``component_id`` (null if nothing else is
 reachable). Repeated rows each give a row. Extra columns are ignored.
 """
@@ -28,15 +34,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bounded_broadcast, row_names, save, slices, texts
+from .common import BROADCAST_ROWS, ROW, bounded_broadcast, decisions, forget, row_names, save, slices, texts
 
 HASHES = 128
 ROWS = 4  #: minima in a band; HASHES / ROWS bands
 SHINGLE = 4
 #: Ids of the documents whose sets are wanted are broadcast up to so many.
 IDS = 1_000_000
-#: In the second round, members of a bucket are compared in blocks of so many.
+#: Members of a bucket are compared in blocks of so many, or of so many bytes of sets.
 BLOCK = 512
+BLOCK_BYTES = 64 << 20
+#: Buckets of more than BLOCK members are divided by further bands, up to so many together.
+DEPTH = 3
 #: A pair goes on to verification if its signatures agree in a share that is so far below the threshold at
 #: most: five standard deviations of 128 minima at a similarity of 0.8.
 SLACK = 0.177
@@ -112,8 +121,11 @@ def _sets(k: int):
     return run
 
 
-def _candidates(left: list[dict], right: list[dict], same: bool, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (left, right) and their agreement: across components, admitted, and not met in an earlier band."""
+def _candidates(left: list[dict], right: list[dict], same: bool, band: int, threshold: float, depth: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (left, right) and their agreement: across components, admitted, and not met in earlier buckets.
+
+    band: the last of the ``depth`` bands that the members share; a pair that shares others before it was met there.
+    """
     ls = np.frombuffer(b"".join(x["sig"] for x in left), np.uint8).reshape(len(left), -1)
     rs = ls if same else np.frombuffer(b"".join(x["sig"] for x in right), np.uint8).reshape(len(right), -1)
     lm = np.frombuffer(b"".join(x["marks"] for x in left), np.int64).reshape(len(left), -1)
@@ -128,7 +140,7 @@ def _candidates(left: list[dict], right: list[dict], same: bool, band: int, thre
             alike = (rs[near] == row).mean(axis=1)
             near, alike = (x[alike >= threshold] for x in (near, alike))
             if len(near) and band:
-                fresh = ~(rm[near, :band] == lm[i, :band]).any(axis=1)  # by the keys of the buckets: equal low bytes don't make a bucket
+                fresh = (rm[near, :band] == lm[i, :band]).sum(axis=1) == depth - 1  # by the keys of the buckets: equal low bytes don't make a bucket
                 near, alike = near[fresh], alike[fresh]
             found.append((np.full(len(near), i), near, alike))
     if not found:
@@ -142,22 +154,22 @@ def _sides(r: dict) -> tuple[list[dict], list[dict], bool]:
     return left, left if same else [x for x in r["members"] if x["block"] == r["j"]], same
 
 
-CELL = "band bigint, at int, i bigint, j bigint"
+CELL = "band bigint, at int, depth int, i bigint, j bigint"
 
 
 def _open(threshold: float):
     """The members of each pair of blocks that stand in a candidate pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 left, right, same = _sides(r)
-                a, b, _ = _candidates(left, right, same, r["at"], threshold)
+                a, b, _ = _candidates(left, right, same, r["at"], threshold, r["depth"])
                 for x in [left[i] for i in set(a.tolist()) | (set(b.tolist()) if same else set())] + ([] if same else [right[i] for i in set(b.tolist())]):
-                    out.append((r["band"], r["at"], r["i"], r["j"], x["key"], x["comp"], x["block"], x["sig"], x["marks"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], k) for n, k in enumerate(kinds)], ["band", "at", "i", "j", "key", "comp", "block", "sig", "marks"])
+                    out.append((r["band"], r["at"], r["depth"], r["i"], r["j"], x["key"], x["comp"], x["block"], x["sig"], x["marks"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], k) for n, k in enumerate(kinds)], ["band", "at", "depth", "i", "j", "key", "comp", "block", "sig", "marks"])
 
     return run
 
@@ -180,7 +192,7 @@ def _links(threshold: float, percent: int):
                         x = parent[x]
                     return x
 
-                a, b, alike = _candidates(left, right, same, r["at"], threshold)
+                a, b, alike = _candidates(left, right, same, r["at"], threshold, r["depth"])
                 for k in np.argsort(-alike, kind="stable"):
                     x, y = left[a[k]], right[b[k]]
                     p, q = root(x["comp"]), root(y["comp"])
@@ -237,7 +249,7 @@ def star_components(edges: DataFrame) -> DataFrame:
     """(node, comp) of the undirected edges (src, dst): alternating large-star and small-star until nothing changes.
 
     Each star needs a node's least neighbour, a partially aggregated minimum, and a join back; no
-    neighbourhood is gathered. Self loops and repeated edges are allowed; comp is the least node reachable.
+    neighbourhood is gathered. The edges of a hub are narrow rows, whose partition adaptive execution splits for the join. Self loops and repeated edges are allowed; comp is the least node reachable.
     """
     edges = save(edges.where("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct(), "edges")
     before = None
@@ -250,7 +262,8 @@ def star_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi")
         small = moved.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(moved.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct()
-        edges = save(small, "edges")
+        last, edges = edges, save(small, "edges")
+        forget(last)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if after == before:
             break
@@ -259,81 +272,105 @@ def star_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(edges.select(F.col("lo"), F.col("lo"))).distinct()
 
 
-def _components(documents: DataFrame, percent: int, k: int, hashes: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def _components(documents: DataFrame, percent: int, k: int, hashes: int, rows: int, slack: float) -> tuple[DataFrame, DataFrame]:
     """(the columns but text, key, n_shingles) of each document, and (key, comp, least doc_id) of each class."""
     ids = [c for c in documents.columns if c != "text"]
     kinds = ", ".join(f"{c} {dict(documents.dtypes)[c]}" for c in ids)
     signed = save(documents.mapInArrow(_signatures(hashes, rows, k, ids), f"{kinds}, key binary, n_shingles bigint, sig binary, bands array<bigint>, marks binary"), "signatures")
     docs = signed.select(*ids, "key", "n_shingles")
-    classes = save(docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = save(docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "classes")
     first = (F.col("s.key") == F.col("c.key")) & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id"))
     one = signed.alias("s").join(classes.alias("c"), first, "left_semi").select("key", "sig", "bands", "marks")
-    banded = one.select("key", F.posexplode("bands").alias("at", "band"))
-    pivots = banded.groupBy("band").agg(F.min("key").alias("pivot"), F.max("key").alias("most")).where("pivot <> most").select("band", "pivot")
-    members = save(banded.join(pivots, "band"), "members")  # only buckets with two classes or more
-    tried = save(members.where("key <> pivot").select(F.col("pivot").alias("src"), F.col("key").alias("dst")).distinct(), "pairs")
-    links = save(_verify(tried, documents, classes, k, percent), "links")
-    comps = star_components(links)
-
-    # second round: buckets whose members besides the pivot, which has met them all, are in several components
-    others = members.where("key <> pivot").select("at", "band", "key").distinct()
-    at = others.join(comps, others["key"] == comps["node"], "left").select("at", "band", "key", F.coalesce("comp", "key").alias("comp"))
-    mixed = at.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band")
-    rest = save(at.join(mixed, "band", "left_semi"), "rest")
-    more = save(_residual(rest, one, documents, classes, k, percent), "links")
+    members = one.select("key", F.posexplode("bands").alias("at", "band")).withColumn("depth", F.lit(1))
+    links, comps, pieces = None, None, []
+    for depth in range(1, DEPTH + 1):
+        bucket = ["band", "at", "depth"]
+        if depth == 1:
+            pivots = members.groupBy(*bucket).agg(F.min("key").alias("pivot"), F.max("key").alias("most")).where("pivot <> most").select(*bucket, "pivot")
+            members = save(members.join(pivots, bucket), "members")  # only buckets with two classes or more
+        met = members.where("key <> pivot")
+        tried = save(met.select(F.col("pivot").alias("src"), F.col("key").alias("dst")).distinct(), "pairs")
+        new = save(_verify(tried, documents, classes, k, percent), "links")
+        links = new if links is None else save(links.union(new).distinct(), "links")
+        comps = star_components(links)
+        # what goes on: buckets whose members besides the pivot, which has met them all, are in several components
+        others = met.select("key", *bucket).distinct()
+        at = others.join(comps, others["key"] == comps["node"], "left").select("key", *bucket, F.coalesce("comp", "key").alias("comp"))
+        mixed = at.groupBy(*bucket).agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b").select(*bucket, "size")
+        rest = save(at.join(mixed, bucket), "rest")
+        pieces.append(rest.where(F.col("size") <= BLOCK) if depth < DEPTH else rest)
+        large = rest.where(F.col("size") > BLOCK)
+        if depth == DEPTH or large.isEmpty():
+            break
+        # a large bucket's members by each later band that they have, but for the pivot
+        apart = large.select("key", "band", "at", "depth").join(one.select("key", F.posexplode("bands").alias("next", "more")).dropDuplicates(["key", "next"]), "key").where("next > at")
+        apart = apart.select("key", F.xxhash64("band", "more").alias("band"), F.col("next").alias("at"), (F.col("depth") + 1).alias("depth"))
+        pivots = apart.groupBy(*bucket).agg(F.min("key").alias("pivot"), F.max("key").alias("most")).where("pivot <> most").select(*bucket, "pivot")
+        members = save(apart.join(pivots, bucket), "members")
+
+    rest = pieces[0]
+    for more in pieces[1:]:
+        rest = rest.union(more)
+    # components of now: later rounds have joined some
+    rest = rest.drop("comp").join(comps, rest["key"] == comps["node"], "left").select("key", "band", "at", "depth", F.coalesce("comp", "key").alias("comp"))
+    more = save(_residual(save(rest, "rest"), one, documents, classes, k, percent, slack), "links")
     comps = star_components(links.union(more))
 
     least = classes.join(comps, classes["key"] == comps["node"], "left").select("key", F.coalesce("comp", "key").alias("comp"), "doc_id")
     return docs, least
 
 
-def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 80, k: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS, slack: float = SLACK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. kept is true for
     the document whose id is its component's, and for documents without an id that can be given.
     """
-    docs, least = _components(documents.select("doc_id", "text"), percent, k, hashes, rows)
+    docs, least = _components(documents.select("doc_id", "text"), percent, k, hashes, rows, slack)
     ids = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_key = least.select("key", "comp").join(ids, "comp").select("key", "component_id")
-    out = docs.join(by_key, "key", "left")
-    component: Column = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    # documents with an empty set are no rows of one key in the join
+    some = docs.where("key is not null").join(by_key, "key").select("doc_id", "n_shingles", "component_id")
+    none = docs.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return some.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def one_of_each(documents: DataFrame, percent: int = 80, k: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+def one_of_each(documents: DataFrame, percent: int = 80, k: int = SHINGLE, hashes: int = HASHES, rows: int = ROWS, slack: float = SLACK, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The documents, with all their columns, but one row only of each component of near duplicates.
 
     Of a component, the row with the least doc_id stays (null last), then the one with the least hashes of its text
     and of all columns; of rows that are the same in all columns, one. Rows without words are linked with nothing and stay.
+    Texts are shuffled to the decisions only if these are more than ``limit`` rows.
     """
-    names = documents.columns
-    known = documents.withColumns({c: v for c, v in zip(ROW, row_names(documents), strict=True)})
-    docs, least = _components(known.select("doc_id", *ROW, "text"), percent, k, hashes, rows)
+    known = documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", "text", *[v.alias(c) for c, v in zip(ROW, row_names(documents), strict=True)])
+    docs, least = _components(known.select("doc_id", *ROW, "text"), percent, k, hashes, rows, slack)
     placed = save(docs.where("key is not null").join(least.select("key", "comp"), "key").groupBy("comp", *ROW).agg(F.count("*").alias("n")), "placed")
     stays = placed.groupBy("comp").agg(F.min(F.struct(*ROW)).alias("least"))
     marked = placed.join(stays, "comp").select(*ROW, (F.struct(*ROW) == F.col("least")).alias("stays"), "n")
     marked = save(marked.where("n > 1 or not stays"), "marked")
-    again = bounded_broadcast(marked.where("stays").select(*ROW))
-    single = known.join(marked.select(*ROW), ROW, "left_anti").select(*names)
-    return single.union(known.join(again, ROW, "left_semi").dropDuplicates(ROW).select(*names))
+    single = known.join(decisions(marked.select(*ROW), limit), ROW, "left_anti").select("_row.*")
+    again = known.join(decisions(marked.where("stays").select(*ROW), limit), ROW, "left_semi").dropDuplicates(ROW).select("_row.*")
+    return single.union(again)
 
 
-def _residual(rest: DataFrame, signed: DataFrame, documents: DataFrame, holders: DataFrame, k: int, percent: int) -> DataFrame:
+def _residual(rest: DataFrame, signed: DataFrame, documents: DataFrame, holders: DataFrame, k: int, percent: int, slack: float) -> DataFrame:
     """Links across components in the given buckets, block against block.
 
-    A bucket's members are dealt to blocks of about BLOCK by their key; pairs of blocks are rows of their
-    own, so that a bucket of any size spreads over tasks. Sets go only to the pairs of blocks, and for the
-    members, that have a candidate pair.
+    A bucket's members are dealt to blocks by their key, about BLOCK of them and BLOCK_BYTES of their sets in each; pairs
+    of blocks are rows of their own, so that a bucket of any size spreads over tasks. Sets go only to the pairs of
+    blocks, and for the members, that have a candidate pair.
     """
-    threshold = percent / 100 - SLACK
-    cell = ["band", "at", "i", "j"]
-    sizes = rest.groupBy("band").agg(F.count("*").alias("n")).select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    threshold = percent / 100 - slack
+    bucket = ["band", "at", "depth"]
+    cell = [*bucket, "i", "j"]
+    rest = rest.join(holders.select("key", "n"), "key")
+    needed = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
+    sizes = rest.groupBy(*bucket).agg(needed.alias("blocks"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(*bucket, "blocks")
+    dealt = rest.drop("n").join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     sigs = signed.join(rest.select("key").distinct(), "key", "left_semi").select("key", "sig", "marks").dropDuplicates(["key"])
     sent = dealt.join(sigs, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     ends = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    cells = sent.select("band", "at", *ends, F.struct("key", "comp", "block", "sig", "marks").alias("m")).groupBy(*cell).agg(F.collect_list("m").alias("members"))
+    cells = sent.select(*bucket, *ends, F.struct("key", "comp", "block", "sig", "marks").alias("m")).groupBy(*cell).agg(F.collect_list("m").alias("members"))
     some = F.aggregate("members", F.lit(False), lambda a, m: a | (m["comp"] != F.col("members")[0]["comp"]))
     opened = save(cells.where(some).mapInArrow(_open(threshold), f"{CELL}, key binary, comp binary, block bigint, sig binary, marks binary"), "open")
     sets = save(_sets_of(opened.select("key").distinct(), documents, holders, k), "sets")

@@ -139,8 +139,12 @@ def test_decontamination(spark):
         want.append((i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)))
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    clean = decontaminate.clean_documents(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"))
-    assert sorted(r.doc_id for r in clean.collect()) == [4, 5, 6, 8] and clean.columns == docs(spark, []).columns
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(map(tuple, decontaminate.contamination(docs(spark, rows), items, limit=0).collect()), key=key) == sorted(want, key=key)
+    for limit in (0, 1000):
+        clean = decontaminate.clean_rows(docs(spark, rows), items, limit=limit)
+        assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted(((i, t) for (i, t, _), w in zip(rows, want) if not w[-1]), key=key)
+        assert clean.columns == docs(spark, []).columns
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(docs(spark, rows), empty).where("contaminated").count() == 0
     assert decontaminate.contamination(docs(spark, []), empty).count() == 0
@@ -218,6 +222,11 @@ def test_mix(spark):
     assert mixed.columns == docs(spark, []).columns
     assert sum(size(r.text) for r in mixed.collect()) == sum(r.taken for r in got)
     assert mixing.mix_report(docs(spark, [])).count() == 0
+    # columns with the names of the plan's own keep their values, and weights may be given
+    own = ["target", "epochs", "source_size", "copies", "_size", "_key", "_source", "_null", "_row", "_cut"]
+    named = docs(spark, rows[:40]).withColumns({c: F.lit(777) for c in own})
+    back = mixing.mixed_documents(named, weight=F.lit(1.0))
+    assert back.columns == named.columns and {tuple(r) for r in back.select(*own).collect()} == {(777,) * len(own)}
 
 
 def test_forward_backward():
