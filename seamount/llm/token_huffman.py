@@ -44,7 +44,7 @@ BLOCK = 1 << 16
 STEP = 128
 VERSION = 1
 #: Texts are encoded in slices of about so many bytes: longer ones hold fewer different pieces for their size.
-SLICE = 16 << 20
+SLICE = 8 << 20
 LIMIT = 20  #: longest code in bits; more only if the ids don't fit
 
 PLAIN = "part int, block bigint, at bigint, doc_no bigint, doc_ids array<bigint>, counts array<bigint>, piece int, pieces int, ids binary"
@@ -67,7 +67,7 @@ class Encoder:
     remembered in two generations of KEEP pieces: what the last KEEP new pieces didn't need is forgotten.
     """
 
-    KEEP = 600_000
+    KEEP = 300_000
     MARKS = ".,#%*&$!|;:?)"
 
     def __init__(self, path: str):
