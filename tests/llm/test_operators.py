@@ -271,23 +271,60 @@ def test_quality_edges(spark):
 
 def test_masked_likelihood(spark):
     d = docs(spark, TEXTS)
-    of, within = masked_lm.classes_of(masked_lm.bucket_counts(d))
-    w = masked_lm.train(d, of)
-    got = masked_lm.score(d, w, of, within).collect()
-    want = []
+    w, tokens = masked_lm.vocabulary(d)
+    assert tokens == sum(len((t or "").split()) for _, t, _ in TEXTS) and w.size == math.ceil(math.sqrt(tokens))
+    net = masked_lm.train(d, w, tokens, shard=9000)
+    got = masked_lm.score(d, net).collect()
+    want, pad = [], w.pad
     for i, text, _ in TEXTS:
-        b = masked_lm.buckets((text or "").encode())
-        c, total = [masked_lm.CLASSES] * 2 + [int(x) for x in of[b]] + [masked_lm.CLASSES] * 2, 0.0
+        leaf, within = w.ids(masked_lm.hashes((text or "").encode()))
+        c, total = [pad] * 2 + leaf.tolist() + [pad] * 2, 0.0
         for at in range(2, len(c) - 2):
-            h = np.tanh(sum(w["t"][j][c[at + s]] for j, s in enumerate((-2, -1, 1, 2))) + w["b"]).astype(np.float64)
-            z = h @ w["w"] + w["o"]
-            total += z[c[at]] - np.log(np.exp(z - z.max()).sum()) - z.max() + within[b[at - 2]]
-        want.append((i, len(b), total))
+            h = np.tanh(sum(net.e[c[at + s]].astype(float) * net.s[j] for j, s in enumerate((-2, -1, 1, 2))) + net.b)
+            for k in range(w.starts[c[at]], w.starts[c[at]] + w.sizes[c[at]]):
+                total -= math.log1p(math.exp(-w.signs[k] * (net.u[w.nodes[k]].astype(float) @ h)))
+            total += within[at - 2]
+        want.append((i, len(leaf), total))
     key = lambda r: (str(r[0]), r[1])
     for r, x in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert r[:2] == x[:2] and r[2] == pytest.approx(x[2], rel=1e-4)
         assert r[3] is None if not x[1] else r[3] == pytest.approx(x[2] / x[1], rel=1e-4)
+    again = masked_lm.train(docs(spark, TEXTS[::-1]).repartition(3), w, tokens, shard=9000)
+    assert (again.rows == net.rows).all()
     assert masked_lm.score_documents(docs(spark, [])).count() == 0
+    assert {r[1:] for r in masked_lm.score_documents(docs(spark, [(1, " ", None), (2, None, "s")])).collect()} == {(0, 0.0, None)}
+
+
+def test_masked_network_predicts_words():
+    """All words' probabilities sum to 1, and held-out texts are likelier than by the shares of words alone."""
+    r = np.random.default_rng(1)
+    follows = r.integers(0, 60, (60, 2))
+
+    def text():
+        at, out = int(r.integers(0, 60)), []
+        for _ in range(100):
+            at = int(follows[at, r.integers(0, 2)])
+            out.append(f"w{at}")
+        return " ".join([*out, f"rare{r.integers(0, 10**6)}"]).encode()
+
+    own, other = [text() for _ in range(1500)], [text() for _ in range(30)]
+    words, n = np.unique(np.concatenate([masked_lm.hashes(t) for t in own]), return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rare = np.bincount(words[order[60:]] % 1024, n[order[60:]], 1024)
+    w = masked_lm.words_of([(int(words[i]), int(n[i])) for i in order[:60]], rare)
+    trainer = masked_lm.Trainer(w, masked_lm.Network(w).rows)
+    for i in range(0, 1500, 100):
+        trainer.learn(*masked_lm.stream([w.ids(masked_lm.hashes(t))[0] for t in own[i : i + 100]], w.pad))
+    every = np.arange(w.pad)
+    h = np.repeat(r.normal(size=(1, masked_lm.HIDDEN)).astype(np.float32), len(every), axis=0)
+    x = trainer.net.branches(h, every)
+    assert np.exp(-np.add.reduceat(np.logaddexp(0, -x.odds), x.begin)).sum() == pytest.approx(1, abs=1e-4)
+    assert np.exp(w.share).sum() == pytest.approx(masked_lm.RARE, rel=1e-4)
+    size, total = masked_lm.score_texts(trainer.net, other)
+    shares = np.concatenate([n[order[:60]], np.bincount(np.arange(1024) % masked_lm.RARE, rare, masked_lm.RARE) + 1.0])
+    shares = np.log(shares / shares.sum())
+    alone = sum(shares[leaf].sum() + within.sum() for leaf, within in (w.ids(masked_lm.hashes(t)) for t in other))
+    assert total.sum() / size.sum() > alone / size.sum() + 1
 
 
 def test_licenses(spark):
