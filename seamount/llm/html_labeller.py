@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -43,15 +44,91 @@ SCOPES = frozenset("ul ol table dl select article section div body".split())
 #: A p ends where one of these begins.
 ENDS_P = BLOCK_TAGS - frozenset("label button select option textarea input noscript iframe object html head body".split())
 
-TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
-    r"|<(script|style|template|noembed|noframes)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<xmp(?=[\s/>])[^>]*>(?P<raw>.*?)(?:</xmp\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/<>]*)(?P<rest2>[^<>]*)>",
-    re.S | re.I,
-)
+#: What may stand at a "<".
+OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-z][^\s/>]*))", re.I)
+#: Their content is no text of the page, up to their end tag or the end of the page; that of xmp is text as it stands.
+RAW = frozenset("script style template noembed noframes xmp".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+COMMENT_END = re.compile(r"--!?>")
+SPECIAL = re.compile("[>\"']")
+#: Elements nested deeper than this are taken as siblings, as browsers do.
+NESTED = 512
+
+
+class Scanner:
+    """The tags of a page, in order. It goes forward only: what a quote or the like leads to is found once for each place."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.after: dict[int, int] = {}
+        self.special = self.close = -2
+
+    def greater(self, at: int) -> int:
+        """The next ">" from ``at`` on, or -1."""
+        if self.close != -1 and self.close < at:
+            self.close = self.page.find(">", at)
+        return self.close
+
+    def tag_end(self, at: int) -> int:
+        """The ">" that ends a tag, outside its quotes, or -1."""
+        if self.special != -1 and self.special < at:
+            m = SPECIAL.search(self.page, at)
+            self.special = m.start() if m else -1
+        place, passed = self.special, []
+        while place >= 0 and place not in self.after and self.page[place] != ">":
+            passed.append(place)
+            quote = self.page.find(self.page[place], place + 1)
+            m = SPECIAL.search(self.page, quote + 1) if quote >= 0 else None
+            place = m.start() if m else -1
+        end = self.after.get(place, place)
+        for x in passed:
+            self.after[x] = end
+        return end
+
+    def tags(self) -> Generator[tuple[int, int, str, str | None, str], int | None]:
+        """Start and end of each tag, comment or raw element; "/" of an end tag, its name in lower case (None: no tag), and the rest of it or raw text."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            m = OPEN.match(page, at)
+            if not m:
+                at += 1
+                continue
+            start, tag = at, (m["tag"] or "").lower()
+            if m["comment"]:
+                m = COMMENT_END.search(page, at + 2 if page.startswith("<!-->", at) or page.startswith("<!--->", at) else at + 4)
+                at = m.end() if m else len(page)
+                yield start, at, "", None, ""
+            elif m["other"]:
+                end = self.greater(at)
+                at = end + 1 if end >= 0 else len(page)
+                yield start, at, "", None, ""
+            elif tag in RAW and not m["end"]:
+                end = self.greater(m.end())
+                if end < 0:
+                    at += 1
+                    continue
+                stop = RAW_END[tag].search(page, end + 1)
+                close = self.greater(stop.end()) if stop else -1
+                at = close + 1 if close >= 0 else len(page)
+                yield start, at, "", None, page[end + 1 : stop.start() if stop else at] if tag == "xmp" else ""
+            else:
+                if "<" in tag:  # "<b<i>": the first isn't a tag
+                    at += 1
+                    continue
+                end = self.tag_end(m.end())
+                if end < 0:  # a quote that stands alone: to the next ">", unless a tag begins before it
+                    end = self.greater(m.end())
+                    begin = page.find("<", m.end(), end) if end >= 0 else 0
+                    if begin >= 0:
+                        at += 1
+                        continue
+                at = end + 1
+                jump = yield start, at, m["end"], tag, page[m.end() : end]
+                if jump:
+                    at = jump
+                    yield start, at, "", None, ""
+
+
 SVG_END = re.compile(r"</svg\s*>", re.I)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|data-y)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
@@ -63,6 +140,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], str]] = []  # tag, what it adds to the path, label
     parts: list[str] = []
+    opened: Counter[str] = Counter()
     state = [0, 0]  # open links, characters of the block in links
 
     def flush():
@@ -75,36 +153,38 @@ def blocks_of(page: str) -> list[Block]:
         state[1] = 0
 
     def close(tags, scopes):
+        if not any(map(opened.__getitem__, tags)):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
+                opened.subtract(x[0] for x in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in scopes:
                 return
 
+    def say(text):
+        parts.append(text)
+        if state[0]:
+            state[1] += len(text)
+
     at, svg_ends = 0, True
-    while m := TOKEN.search(page, at):
-        if m.start() > at:
-            text = page[at : m.start()]
-            parts.append(text)
-            if state[0]:
-                state[1] += len(text)
-        at = m.end()
-        if m["raw"]:
-            text = html.escape(m["raw"])  # as it stands: neither tags nor references in it mean anything
-            parts.append(text)
-            if state[0]:
-                state[1] += len(text)
-        end, tag, rest = (m["end"], m["tag"], m["rest"]) if m["tag"] else (m["end2"], m["tag2"], m["rest2"])
+    found = Scanner(page).tags()
+    m = next(found, None)
+    while m:
+        start, stop, end, tag, rest = m
+        if start > at:
+            say(page[at:start])
+        at, jump = stop, None
         if not tag:
-            continue  # a comment, a script or the like: it leaves no trace in the text
-        tag = tag.lower()
-        if tag == "br":
+            if rest:
+                say(html.escape(rest))  # xmp as it stands: neither tags nor references in it mean anything
+        elif tag == "br":
             parts.append(" ")
         elif tag == "svg":  # '<svg .../>', and one without an end, is only a tag
             if not end and not rest.endswith("/") and svg_ends:
-                stop = SVG_END.search(page, at)
-                at, svg_ends = (stop.end() if stop else at), bool(stop)
+                last = SVG_END.search(page, at)
+                jump, svg_ends = (last.end() if last else None), bool(last)
         elif tag == "a":
             state[0] = 0 if end else 1
         elif tag in BLOCK_TAGS:
@@ -127,9 +207,15 @@ def blocks_of(page: str) -> list[Block]:
                             elif name == "hidden" or name == "style":
                                 names += ["hidden"] if name == "hidden" or "display:none" in value.replace(" ", "") else []
                             else:
-                                names += [x for x in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])|\d+", value)[:12] if x]
-                    stack.append((tag, tuple(x.lower() for x in names), label))
+                                names += [x for x in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])|\d+", value) if x]
+                    if len(stack) < NESTED:
+                        stack.append((tag, tuple(x.lower() for x in names), label))
+                        opened[tag] += 1
         # other tags stand within a text and don't part it
+        if jump:
+            found.send(jump)
+            at = jump
+        m = next(found, None)
     if at < len(page):
         parts.append(page[at:])
     flush()

@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import forget, save, slices, texts
 
 #: Vocabulary for each square root of a token, buckets for each word of it, and the classes of other words.
-VOCABULARY, BUCKETS, RARE = 1.0, 64, 32
-REACH, HIDDEN = 2, 16
+VOCABULARY, BUCKETS, RARE = 1.0, 16, 32
+REACH, HIDDEN = 2, 12
 TOP = 64  #: inner nodes that most paths go through: worked as a matrix, the others one by one
-BATCH, RATE = 4096, 0.15
+BATCH, RATE = 8192, 0.15
 ROUNDS = 2
 #: Tokens in a shard: at least so many, and so many for each word of the vocabulary.
 SHARD, SHARD_WORDS = 4_000_000, 400
@@ -132,13 +132,14 @@ def vocabulary(documents: DataFrame, scale: float = VOCABULARY) -> tuple[Words,
     total = counts.agg(F.sum("n")).first()[0] or 0
     size = int(np.ceil(scale * np.sqrt(total)))
     top = counts.orderBy(F.desc("n"), "word").limit(size)
-    chosen = [tuple(r) for r in top.toPandas().itertuples(index=False)]
+    top = top.toArrow()
+    chosen = list(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     cells = 1 << int(np.ceil(np.log2(BUCKETS * max(size, 16))))
     frame = documents.sparkSession.createDataFrame([(h,) for h, _ in chosen], "word bigint")
     rest = counts.join(F.broadcast(frame), "word", "left_anti")  # as many rows as the square root of the tokens
-    found = rest.groupBy(F.pmod("word", F.lit(cells)).cast("int").alias("cell")).agg(F.sum("n").alias("n")).toPandas()
+    found = rest.groupBy(F.pmod("word", F.lit(cells)).cast("int").alias("cell")).agg(F.sum("n").alias("n")).toArrow()
     buckets = np.zeros(cells)
-    buckets[found["cell"].to_numpy()] = found["n"].to_numpy()
+    buckets[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     forget(counts)
     return words_of(chosen, buckets), total
 
@@ -204,14 +205,16 @@ class Network:
             first, last = own[0], own[-1] + 1
             _, h = self.predict(c[first - REACH : last + REACH], last - first)
             paths = self.branches(h[own - first], c[own])
-            out[i : i + BATCH] = -np.add.reduceat(np.logaddexp(0, -paths.odds), paths.begin)
+            out[i : i + BATCH] = -np.add.reduceat(np.log(1 + np.exp(np.minimum(-paths.odds, 80))), paths.begin)
         return out
 
 
 def _sums(keys: np.ndarray, values: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different keys, the sums of their values, and how many each has."""
     if not ordered:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by counting
+        if len(keys) and keys.max() >> 16:
+            order = order[np.argsort((keys[order] >> 16).astype(np.uint16 if keys.max() >> 32 == 0 else np.int64), kind="stable")]
         keys, values = keys[order], values[order]
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     return keys[first], np.add.reduceat(values, first, axis=0), np.diff(np.append(first, len(keys)))
@@ -322,7 +325,8 @@ def train(documents: DataFrame, words: Words, tokens: int, rounds: int = ROUNDS,
 
         means = own.select("text", "shard").mapInArrow(run, "shard int, chunk int, w binary, n binary").groupBy("chunk").applyInPandas(_mean, "chunk int, w binary, n binary")
         rows = net.rows.copy()
-        for chunk, w, n in means.toPandas().itertuples(index=False):
+        found = means.toArrow()
+        for chunk, w, n in zip(*(found.column(x).to_pylist() for x in ("chunk", "w", "n")), strict=True):
             to = rows[chunk * CHUNK : (chunk + 1) * CHUNK]
             used = np.frombuffer(n, np.int64) > 0  # rows that no shard has used stay as they are
             to[used] = np.frombuffer(w, np.float32).reshape(-1, HIDDEN)[used]
