@@ -6,7 +6,10 @@ same. A file that can't be read gives one row with ``error`` set and no pixels;
 
 ``store_texts`` is the lossless store that the query uses: a text's UTF-8 bytes (null: none), padded with
 spaces to a positive multiple of 192, are the 8-bit samples of an RGB image of 64 x n pixels, on pages of at most
-``PAGE_ROWS`` rows in deflate strips. ``read_texts`` decodes the stored files again.
+``PAGE_ROWS`` rows. The payload decides the form, so that equal texts have equal files: its CRC-32 chooses strips or (from TILE
+rows on) tiles, the predictor, and, up to SHORT bytes, LZW, PackBits, deflate or none; longer ones are deflated, as the
+other codecs run in Python. ``read_texts`` walks the stored files again, page by page. A payload whose file would pass 4 GB, the
+format's limit, raises.
 
 Repeated rows each give a row; null ids and extra columns don't matter.
 """
@@ -29,6 +32,8 @@ NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 WIDTH, SAMPLES = 64, 3
 PAGE_ROWS = 16384
 STRIP_ROWS = 512
+TILE, TILE_ROWS = 64, 192  #: tiles for images of so many rows or more
+SHORT = 768  #: bytes of a payload that any codec may store
 
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I"}
@@ -216,6 +221,8 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
         place = at + 10 + 12 * i
         if _SIZES[kind] * count > 4:
             (place,) = struct.unpack_from(order + "I", data, place)
+        if place + _SIZES[kind] * count > len(data):
+            raise TiffError("values beyond the file's end")
         tags[tag] = list(struct.unpack_from(f"{order}{count}{_CODES[kind]}", data, place))
     (following,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
     return tags, following
@@ -238,7 +245,9 @@ def decode(data: bytes) -> Iterator[Page]:
         try:
             tags, at = _directory(data, at, order)
             yield _page(data, tags)
-        except (struct.error, zlib.error, KeyError, IndexError) as e:
+        except (struct.error, zlib.error, KeyError, IndexError, ValueError, OverflowError, MemoryError) as e:
+            if isinstance(e, TiffError):
+                raise
             raise TiffError(f"{type(e).__name__}: {e}") from None
 
 
@@ -253,6 +262,8 @@ def _page(data: bytes, tags: dict[int, list[int]]) -> Page:
     tiled = 324 in tags
     bw, bh = (tags[322][0], tags[323][0]) if tiled else (w, min(one(278, h), h))
     offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    if min(w, h, samples, bw, bh) < 1:
+        raise TiffError("a size of nothing")
     across, down = -(-w // bw), -(-h // bh)
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     if w * h * samples > 1 << 32 or len(offsets) < planes * across * down:
@@ -275,6 +286,16 @@ def _page(data: bytes, tags: dict[int, list[int]]) -> Page:
 PAGES = "id bigint, page int, width int, height int, samples int, compression int, predictor int, mean double, pixels_sha256 string, pixels binary, error string"
 
 
+def page_rows(data: bytes) -> Iterator[tuple[int, Page | None, str | None]]:
+    """Number, page and error of each page of a file, one after the other; what can't be read ends with a row of its own."""
+    n = 0
+    try:
+        for n, page in enumerate(decode(data) if data else (), 1):
+            yield n - 1, page, None
+    except TiffError as e:
+        yield n, None, str(e)
+
+
 def pages_of(media: DataFrame, column: str = "media", key: str = "id", pixels: bool = True) -> DataFrame:
     """A row for each page of each file; pixels: whether the decoded samples are carried along."""
 
@@ -285,12 +306,12 @@ def pages_of(media: DataFrame, column: str = "media", key: str = "id", pixels: b
             for batch in slices(whole, "media", 1 << 20):
                 for name, data in zip(batch.column("id").to_pylist(), texts(batch, "media"), strict=True):
                     rows = []
-                    try:
-                        for n, p in enumerate(decode(data) if data else ()):
+                    for n, p, error in page_rows(data):
+                        if p is None:
+                            rows.append((name, n, *[None] * 8, error))
+                        else:
                             raw = p.pixels.tobytes()
                             rows.append((name, n, p.width, p.height, p.samples, p.compression, p.predictor, float(p.pixels.mean()), hashlib.sha256(raw).hexdigest(), raw if pixels else None, None))
-                    except TiffError as e:
-                        rows.append((name, len(rows), *[None] * 8, str(e)))
                     if rows:  # a batch for each file: its pages only
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -300,7 +321,10 @@ def pages_of(media: DataFrame, column: str = "media", key: str = "id", pixels: b
 def image_of(payload: bytes) -> bytes:
     """The TIFF file of a payload whose length is a multiple of WIDTH * SAMPLES."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, SAMPLES)
-    return encode([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)])
+    form = zlib.crc32(payload)
+    codec = (DEFLATE, LZW, PACKBITS, NONE)[form & 3] if len(payload) <= SHORT else DEFLATE
+    tile = TILE if len(rows) >= TILE_ROWS and form & 4 else 0
+    return encode([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], codec, 2 if form & 8 else 1, tile)
 
 
 def store_texts(documents: DataFrame) -> DataFrame:
@@ -330,7 +354,9 @@ def read_texts(stored: DataFrame) -> DataFrame:
                 facts = []
                 for data in texts(batch, "media"):
                     sha, size, tail, pages, counts = hashlib.sha256(), 0, b"", 0, np.zeros(256, np.int64)
-                    for p in decode(data):
+                    for _, p, error in page_rows(data):
+                        if p is None:
+                            raise TiffError(error)
                         raw = p.pixels.tobytes()
                         sha.update(raw)
                         counts += np.bincount(p.pixels.reshape(-1), minlength=256)

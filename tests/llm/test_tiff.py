@@ -32,9 +32,31 @@ def test_what_cannot_be_read(data):
         list(tiff.decode(data))
 
 
+def test_broken_files_end_with_an_error():
+    """Every byte of a file set to 0 and to 255, and the file cut anywhere: pages or an error, nothing else."""
+    for data in (tiff.encode([np.zeros((20, 20, 3), np.uint8)] * 2, tiff.LZW, 2, 16, 2), tiff.encode([np.zeros((9, 9, 1), np.uint8)], tiff.PACKBITS)):
+        for i in range(len(data)):
+            for broken in (data[:i] + b"\0" + data[i + 1 :], data[:i] + b"\xff" + data[i + 1 :], data[:i]):
+                rows = list(tiff.page_rows(broken))
+                assert all((page is None) == (error is not None) for _, page, error in rows) and all(page for _, page, _ in rows[:-1])
+
+
+def test_all_forms_are_stored():
+    r = np.random.default_rng(6)
+    seen = set()
+    for n in [1] * 60 + [200] * 60:
+        payload = r.integers(97, 123, 192 * n, dtype=np.uint8).tobytes()
+        data = tiff.image_of(payload)
+        (page,) = tiff.decode(data)
+        assert page.pixels.tobytes() == payload and data == tiff.image_of(payload)
+        seen.add((page.compression, page.predictor))
+    assert len(seen) == 8
+
+
 def test_texts(spark):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "é" * 500_000), (5, "abc"), (None, "x" * 192)]
-    got = {r.doc_id: r for r in tiff.read_texts(tiff.store_texts(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    named = spark.createDataFrame([(*r, 7, "k") for r in rows], "doc_id bigint, text string, n_bytes int, media string")
+    got = {r.doc_id: r for r in tiff.read_texts(tiff.store_texts(named)).collect()}
     for doc_id, text in rows:
         raw = (text or "").encode()
         padded = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
