@@ -146,4 +146,16 @@ def absolute_url(base: Column | str, link: Column | str) -> Column:
         .when(link.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), link))
         .otherwise(F.concat(folder, link))
     )
-    return F.regexp_replace(joined, r"/\./", "/")
+    return F.when(joined.rlike(r"/\.\.?(?:[/?#]|$)"), _without_dots(joined)).otherwise(joined)
+
+
+def _without_dots(url: Column) -> Column:
+    """An address whose path has no segments of one or two dots: two take the segment before with them."""
+    origin = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    rest = F.substring(url, F.length(origin) + 1, F.length(url))
+    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(parts, empty, lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    last = F.element_at(parts, -1).isin(".", "..")  # a folder
+    return F.concat(origin, F.lit("/"), F.array_join(F.when(last & (F.size(kept) > 0), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"), F.substring(rest, F.length(path) + 1, F.length(rest)))

@@ -31,7 +31,8 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pa
     """url, depth, visit_count of what is reached from seeds (url) over edges (src, dst).
 
     Each level is a join of the last one with the edges less what was visited; a level is written to the shared folder of
-    ``spark.checkpoint.dir`` before the next. max_pages: no further level once more were visited.
+    ``spark.checkpoint.dir`` before the next. max_pages: the search ends with the first page beyond so many; of the level in
+    which that is, the pages that come first by url.
     """
     from seamount.sources.shared import keep
 
@@ -39,10 +40,12 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, max_pa
     frontier = keep(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "level")
     seen = frontier
     for depth in range(1, max_depth + 1):
-        if max_pages is not None and seen.count() > max_pages:
+        left = None if max_pages is None else max_pages + 1 - seen.count()
+        if left is not None and left <= 0:
             break
         nxt = frontier.join(edges, frontier["url"] == edges["src"]).select(F.col("dst").alias("url")).distinct()
-        frontier = keep(nxt.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        fresh = nxt.join(seen, "url", "left_anti")
+        frontier = keep((fresh if left is None else fresh.orderBy("url").limit(left)).withColumn("depth", F.lit(depth)), "level")
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)

@@ -7,9 +7,13 @@ rounded to six decimals before they are ranked; ties keep the order of doc_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamount.sources.shared import keep
+
 from . import index as I
 
 
@@ -57,35 +61,76 @@ def _collection_terms(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, Dat
     return matches, cf, I.collection_stats(docs).crossJoin(vocabulary)
 
 
+def _dirichlet(docs: DataFrame, terms: DataFrame, mu: float, unknown: float) -> tuple[DataFrame, DataFrame, Callable]:
+    """(qid, n, base) of the queries, (qid, doc_id, len, gain) of the documents that match, and a score of these columns."""
+    matches, cf, totals = _collection_terms(docs, terms)
+    known = terms.join(I.small(cf), "term", "left").crossJoin(F.broadcast(totals))
+    p = F.coalesce(F.try_divide("cf", "total_terms"), F.try_divide(F.lit(unknown), F.col("vocab")))
+    known = keep(known.select("qid", "term", "qtf", p.alias("p")), "known")
+    base = known.groupBy("qid").agg(F.sum("qtf").alias("n"), F.sum(F.col("qtf") * F.ln(mu * F.col("p"))).alias("base"))
+    gain = matches.join(I.small(known), "term").groupBy("qid", "doc_id", "len").agg(F.sum(F.col("qtf") * F.ln(1 + F.col("tf") / (mu * F.col("p")))).alias("gain"))
+    return base, gain, lambda gain: F.round(F.col("base") - F.col("n") * F.ln(F.col("len") + mu) + gain, 6)
+
+
 def lm_dirichlet(docs: DataFrame, terms: DataFrame, mu: float = 1000.0, unknown: float = 0.2) -> DataFrame:
     """qid, doc_id, score of every document: sum of ln((tf + mu P) / (len + mu)), P = cf / total or unknown / vocabulary.
 
     The part of absent terms is the same for all documents but for the length, so only matches are joined:
     sum of ln(mu P) - n ln(len + mu) + sum over matches of ln(1 + tf / (mu P)).
     """
-    matches, cf, totals = _collection_terms(docs, terms)
-    one = F.broadcast(totals)
-    known = terms.join(I.small(cf), "term", "left").crossJoin(one)
-    p = F.coalesce(F.col("cf") / F.col("total_terms"), F.lit(unknown) / F.col("vocab"))
-    known = known.select("qid", "term", "qtf", p.alias("p"))
-    base = known.groupBy("qid").agg(F.sum("qtf").alias("n"), F.sum(F.col("qtf") * F.ln(mu * F.col("p"))).alias("base"))
-    gain = matches.join(I.small(known), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.ln(1 + F.col("tf") / (mu * F.col("p")))).alias("gain"))
-    every = I.document_stats(docs).crossJoin(I.small(base))  # the queries, of a checked number
-    scored = every.join(gain, ["qid", "doc_id"], "left")
-    return scored.select("qid", "doc_id", F.round(F.col("base") - F.col("n") * F.ln(F.col("len") + mu) + F.coalesce("gain", F.lit(0.0)), 6).alias("score"))
+    return _every(docs, *_dirichlet(docs, terms, mu, unknown))
 
 
-def lm_jelinek_mercer(docs: DataFrame, terms: DataFrame, lam: float = 0.2, least: float = 1e-10) -> DataFrame:
-    """Sum of ln(max((1 - lam) tf / (len + 1e-10) + lam P, least)), P = cf / total or 0, of every document."""
+def _jelinek_mercer(docs: DataFrame, terms: DataFrame, lam: float, least: float) -> tuple[DataFrame, DataFrame, Callable]:
     matches, cf, totals = _collection_terms(docs, terms)
     known = terms.join(I.small(cf), "term", "left").crossJoin(F.broadcast(totals))
-    known = known.select("qid", "term", "qtf", F.coalesce(F.col("cf") / F.col("total_terms"), F.lit(0.0)).alias("p"))
+    known = keep(known.select("qid", "term", "qtf", F.coalesce(F.try_divide("cf", "total_terms"), F.lit(0.0)).alias("p")), "known")
     absent = F.ln(F.greatest(lam * F.col("p"), F.lit(least)))
-    base = known.groupBy("qid").agg(F.sum(F.col("qtf") * absent).alias("base"))
+    base = known.groupBy("qid").agg(F.sum("qtf").alias("n"), F.sum(F.col("qtf") * absent).alias("base"))
     present = F.ln(F.greatest((1 - lam) * F.col("tf") / (F.col("len") + 1e-10) + lam * F.col("p"), F.lit(least)))
-    gain = matches.join(I.small(known), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * (present - absent)).alias("gain"))
-    every = I.document_stats(docs).select("doc_id").crossJoin(I.small(base))
-    return every.join(gain, ["qid", "doc_id"], "left").select("qid", "doc_id", F.round(F.col("base") + F.coalesce("gain", F.lit(0.0)), 6).alias("score"))
+    gain = matches.join(I.small(known), "term").groupBy("qid", "doc_id", "len").agg(F.sum(F.col("qtf") * (present - absent)).alias("gain"))
+    return base, gain, lambda gain: F.round(F.col("base") + gain, 6)
+
+
+def lm_jelinek_mercer(docs: DataFrame, terms: DataFrame, lam: float = 0.2, least: float = 1e-10) -> DataFrame:
+    """Sum of ln(max((1 - lam) tf / (len + 1e-10) + lam P, least)), P = cf / total or 0, of every document."""
+    return _every(docs, *_jelinek_mercer(docs, terms, lam, least))
+
+
+def _every(docs: DataFrame, base: DataFrame, gain: DataFrame, score: Callable) -> DataFrame:
+    every = I.document_stats(docs).crossJoin(I.small(base))  # the queries, of a checked number
+    scored = every.join(gain.drop("len"), ["qid", "doc_id"], "left")
+    return scored.select("qid", "doc_id", score(F.coalesce("gain", F.lit(0.0))).alias("score"))
+
+
+#: Up to this length, in words, a shorter document's rounded score for absent terms is never that of a longer one.
+DISTINCT_LENGTH = 400_000
+
+
+def language_model_top(docs: DataFrame, terms: DataFrame, k: int, smoothing: str = "dirichlet", head: int | None = None, mu: float = 1000.0, unknown: float = 0.2, lam: float = 0.2, least: float = 1e-10) -> DataFrame:
+    """The k best of :func:`language_model`, with their rank, without a row for each query and document.
+
+    They are among the documents that match and, for each query, the k best of the others: those come first in one order of
+    all documents, the same for every query (by length and id, or by id), whose first ``head`` are tried; more if these don't do.
+    """
+    if smoothing not in ("dirichlet", "jm"):
+        raise ValueError(f"unknown smoothing {smoothing!r}")
+    base, gain, score = _dirichlet(docs, terms, mu, unknown) if smoothing == "dirichlet" else _jelinek_mercer(docs, terms, lam, least)
+    base, gain = keep(base, "base"), keep(gain, "gain")
+    order = ["len", "doc_id"] if smoothing == "dirichlet" else ["doc_id"]
+    stats = I.document_stats(docs)
+    total, queries = stats.count(), base.count()
+    head = head or 8 * k
+    while True:
+        first = stats.orderBy(*order).limit(head)
+        others = keep(first.crossJoin(I.small(base)).join(gain.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti"), "others")
+        if head >= total or others.groupBy("qid").count().where(F.col("count") >= k).count() >= queries:
+            break
+        head *= 8
+    if smoothing == "dirichlet" and (others.agg(F.max("len")).first()[0] or 0) > DISTINCT_LENGTH:
+        return top(_every(docs, base, gain, score), k)
+    found = gain.join(I.small(base), "qid").select("qid", "doc_id", score(F.col("gain")).alias("score"))
+    return top(found.union(others.select("qid", "doc_id", score(F.lit(0.0)).alias("score"))), k)
 
 
 def language_model(docs: DataFrame, terms: DataFrame, smoothing: str = "dirichlet", **parameters: float) -> DataFrame:
@@ -132,16 +177,21 @@ def query_vectors(terms: DataFrame, weights_df: DataFrame, n_rows: DataFrame) ->
 
 
 def evsm(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """qid, doc_id, score: the cosine of the query with the document's best row, all weights times their discrimination."""
+    """qid, doc_id, score: the cosine of the query with the document's best row, all weights times their discrimination.
+
+    The weights of all rows are written once; terms' statistics come from one aggregate of them, and lengths are summed by
+    row before anything is joined with the queries.
+    """
+    rows = keep(rows, "rows")
     n = rows.agg(F.count("*").alias("n"))
-    w = tfidf(rows, n)
-    tdw = discrimination(w, n)
-    df = w.groupBy("term").agg(F.count("*").alias("df"))
-    q = query_vectors(terms, df, n).join(tdw, "term").select("qid", "term", (F.col("w") * F.col("tdw")).alias("qw"))
-    q = q.withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("qid"))))
-    e = w.join(tdw, "term").select("row_id", "doc_id", "term", (F.col("w") * F.col("tdw")).alias("ew"))
-    e = e.withColumn("en", F.sqrt(F.sum(F.col("ew") * F.col("ew")).over(Window.partitionBy("row_id"))))
-    dots = e.join(I.small(q), "term").groupBy("qid", "doc_id", "row_id", "en", "qn").agg(F.sum(F.col("qw") * F.col("ew")).alias("dot"))
+    w = keep(tfidf(rows, n), "weights")
+    stats = keep(w.groupBy("term").agg(F.count("*").alias("df"), F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q")).crossJoin(F.broadcast(n)), "stats")
+    tdw = stats.select("term", "df", F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))).alias("tdw"))
+    q = query_vectors(terms, tdw.select("term", "df"), n).join(tdw, "term").select("qid", "term", (F.col("w") * F.col("tdw")).alias("qw"))
+    q = keep(q.withColumn("qn", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("qid")))), "queries")
+    e = w.join(I.small(tdw.select("term", "tdw")), "term").select("row_id", "doc_id", "term", (F.col("w") * F.col("tdw")).alias("ew"))
+    length = e.groupBy("row_id").agg(F.sqrt(F.sum(F.col("ew") * F.col("ew"))).alias("en"))
+    dots = e.join(I.small(q), "term").groupBy("qid", "doc_id", "row_id", "qn").agg(F.sum(F.col("qw") * F.col("ew")).alias("dot")).join(length, "row_id")
     best = dots.select("qid", "doc_id", F.try_divide("dot", F.col("en") * F.col("qn")).alias("s")).groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
     return best.select("qid", "doc_id", F.round("s", 6).alias("score")).where("score > 0")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamount.operators import index as I
 from seamount.sources.collections import table
+from seamount.sources.shared import keep
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -21,6 +22,11 @@ def tokenized(spark: SparkSession, sf: str) -> DataFrame:
     return I.tokenized(documents(spark, sf))
 
 
+def written(spark: SparkSession, sf: str) -> DataFrame:
+    """The tokenized documents as a written table: rankers go over them more than once, the texts are cut once."""
+    return keep(tokenized(spark, sf), "words")
+
+
 def queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 

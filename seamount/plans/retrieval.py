@@ -12,6 +12,7 @@ from seamount.operators import rank as R
 from seamount.operators import results as O
 from seamount.sources import collections as C
 from seamount.sources import files
+from seamount.sources.shared import keep
 from seamount.streaming import activity as streams
 
 from . import fixtures as X
@@ -151,7 +152,7 @@ FROM terms t JOIN posts p ON t.term = p.term JOIN stats s ON s.term = t.term JOI
 
 
 def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25(X.tokenized(spark, sf), X.terms(spark, sf))
+    return R.bm25(X.written(spark, sf), X.terms(spark, sf))
 
 
 @query(f"WITH {X.CORPUS}, {_top_sql(f'SELECT * FROM ({BM25}) WHERE score > 0')} SELECT * FROM top")
@@ -166,7 +167,12 @@ _IDFS = "idfs AS (SELECT term, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUB
 
 @query(f"WITH {X.CORPUS}, {_IDFS}, {_top_sql(_OKAPI)} SELECT * FROM top")
 def bm25_okapi_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(R.bm25_okapi(X.tokenized(spark, sf), X.terms(spark, sf)))
+    return _top(R.bm25_okapi(X.written(spark, sf), X.terms(spark, sf)))
+
+
+def _lm(spark: SparkSession, sf: str, smoothing: str, k: int = 10) -> DataFrame:
+    found = R.language_model_top(X.written(spark, sf), X.terms(spark, sf), k, smoothing)
+    return rounded(found.select("qid", "doc_id", "score", F.col("rank").cast("bigint").alias("rank")))
 
 
 _KNOWN = "known AS (SELECT t.*, s.cf, c.total_terms, c.vocab FROM terms t LEFT JOIN stats s ON t.term = s.term, coll c)"
@@ -177,18 +183,18 @@ _JM = "SELECT qid, doc_id, round(sum(qtf * ln(greatest(0.8::DOUBLE * tf / (len +
 
 @query(f"WITH {X.CORPUS}, {_KNOWN}, {_EVERY}, {_top_sql(_DIRICHLET)} SELECT * FROM top")
 def lm_dirichlet_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(R.language_model(X.tokenized(spark, sf), X.terms(spark, sf), "dirichlet"))
+    return _lm(spark, sf, "dirichlet")
 
 
 @query(f"WITH {X.CORPUS}, {_KNOWN}, {_EVERY}, {_top_sql(_JM)} SELECT * FROM top")
 def lm_jm_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(R.language_model(X.tokenized(spark, sf), X.terms(spark, sf), "jm"))
+    return _lm(spark, sf, "jm")
 
 
 @query(f"""WITH {X.CORPUS}, {_KNOWN} SELECT qid, round(-sum(qtf * log2(0.2::DOUBLE / vocab + 0.8::DOUBLE * coalesce(cf / total_terms::DOUBLE, 0))) / sum(qtf), 6) AS entropy,
 round(sum(CASE WHEN cf IS NOT NULL THEN qtf ELSE 0 END)::DOUBLE / sum(qtf), 6) AS coverage FROM known GROUP BY qid""")
 def lm_entropy_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.entropy_and_coverage(X.tokenized(spark, sf), X.terms(spark, sf)))
+    return rounded(R.entropy_and_coverage(X.written(spark, sf), X.terms(spark, sf)))
 
 
 _ROWS = rf"""
@@ -204,14 +210,14 @@ tdw AS (SELECT term, sqrt(greatest(sum(w * w) / n - pow(sum(w) / n, 2), 0)) AS t
 
 @query(f"WITH {_ROWS} SELECT term, count(*)::BIGINT AS n_rows, round(sum(w), 5) AS weight FROM wts GROUP BY term")
 def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.sentence_rows(X.documents(spark, sf))
+    rows = keep(R.sentence_rows(X.documents(spark, sf)), "rows")
     w = R.tfidf(rows, rows.agg(F.count("*").alias("n")))
     return rounded(w.groupBy("term").agg(F.count("*").alias("n_rows"), F.sum("w").alias("weight")), 5)
 
 
 @query(f"WITH {_ROWS} SELECT term, round(tdw, 6) AS tdw FROM tdw")
 def term_discrimination(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.sentence_rows(X.documents(spark, sf))
+    rows = keep(R.sentence_rows(X.documents(spark, sf)), "rows")
     n = rows.agg(F.count("*").alias("n"))
     return rounded(R.discrimination(R.tfidf(rows, n), n))
 
@@ -247,7 +253,7 @@ f AS (SELECT coalesce(a.qid, b.qid, d.qid) AS qid, coalesce(a.doc_id, b.doc_id,
 SELECT qid, doc_id, coalesce(s0, 0) AS vsm_score, coalesce(s1, 0) AS bm25_score, coalesce(s2, 0) AS lm_score,
 row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN r0 IS NOT NULL THEN 0 WHEN r1 IS NOT NULL THEN 1 ELSE 2 END, coalesce(r0, r1, r2)) AS position FROM f""")
 def fuse_outer(spark: SparkSession, sf: str) -> DataFrame:
-    lists = [_top(s) for s in (_evsm(spark, sf), _bm25(spark, sf), R.language_model(X.tokenized(spark, sf), X.terms(spark, sf), "jm"))]
+    lists = [_top(_evsm(spark, sf)), _top(_bm25(spark, sf)), _lm(spark, sf, "jm")]
     return rounded(O.fuse(*lists).withColumn("position", F.col("position").cast("bigint")))
 
 

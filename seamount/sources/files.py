@@ -82,6 +82,6 @@ def write_run(run: DataFrame, path: str, run_id: str = "STANDARD", depth: int =
 def score_lines(scores: DataFrame, z: bool = False) -> DataFrame:
     """``measure``, tab, ``qid``, tab, value with four decimals (counts without) for (measure, qid, value) rows."""
     counts = F.col("measure").isin("num_q", "num_ret", "num_rel", "num_rel_ret", "num_nonrel_judged_ret", "prefs_num_prefs_poss", "prefs_num_prefs_ful", "prefs_num_prefs_ful_ret")
-    name = F.rpad(F.concat(F.lit("Z" if z else ""), "measure"), 22, " ")
+    name = F.format_string("%-22s", F.concat(F.lit("Z" if z else ""), "measure"))  # longer names stay whole
     shown = F.when(counts & F.lit(not z), F.format_string("%d", F.col("value").cast("bigint"))).otherwise(F.format_string("%6.4f", "value"))
     return scores.select("measure", "qid", F.concat_ws("\t", name, "qid", shown).alias("line"))

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
+
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of this machine for a local session, and ValueError on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="seamount-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="seamount-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
