@@ -295,7 +295,7 @@ def train(documents: DataFrame, words: Words, tokens: int, rounds: int = ROUNDS,
     net = Network(words)
     sent = spark.sparkContext.broadcast(words)
     for turn in range(rounds):
-        own = dealt.where((F.col("shard") >= turn * shards) & (F.col("shard") < (turn + 1) * shards)).repartition(shards, "shard").sortWithinPartitions("shard", "mark", "text")
+        own = dealt.where((F.col("shard") >= turn * shards) & (F.col("shard") < (turn + 1) * shards)).repartitionById(shards, F.col("shard") - turn * shards).sortWithinPartitions("shard", "mark", "text")
         start = spark.sparkContext.broadcast(net.rows)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ an empty set and are linked with nothing. Shingles are 64-bit hashes, sets are n
 
 The work is done on *classes*: documents with equal sets are one class, however many there are, so exact
 copies never meet in a bucket. In each bucket a pivot (the least class) is compared with every other member:
-linear work. Only buckets whose members then still lie in different components go on. Those with more than BLOCK
+linear work. Only buckets whose members then still lie in different components go on. Those with more than DIVIDE
 members are divided by a further band each (a pair at the threshold shares 13 of 32 bands on average) and get pivots
 again, up to DEPTH bands. What remains is compared member by member, in blocks of members that meet in a task. It compares signatures,
 each pair only in the first buckets that it shares (by the buckets' keys), and verifies on the full
@@ -14,7 +14,7 @@ sets those pairs across components whose signatures admit the threshold, the mos
 found so far connect is passed over. Only links leave the task, fewer than it has members. No bucket is capped
 and no member is dropped.
 
-What can be missed, of pairs at similarity 0.8: those that share no band (5e-8), in buckets of over BLOCK
+What can be missed, of pairs at similarity 0.8: those that share no band (5e-8), in buckets of over DIVIDE
 members those that share fewer than DEPTH (1e-5), and those whose signatures agree by five standard deviations too
 little (3e-7; ``slack=1`` compares the sets of all pairs of a bucket).
 
@@ -44,7 +44,9 @@ IDS = 1_000_000
 #: Members of a bucket are compared in blocks of so many, or of so many bytes of sets.
 BLOCK = 512
 BLOCK_BYTES = 64 << 20
-#: Buckets of more than BLOCK members are divided by further bands, up to so many together.
+#: Buckets of more members are divided by further bands, up to DEPTH together. A member has a row for each of 31 bands then,
+#: and size / BLOCK rows if blocks meet, so that dividing is less work only beyond some 31 blocks.
+DIVIDE = 64 * BLOCK
 DEPTH = 3
 #: A pair goes on to verification if its signatures agree in a share that is so far below the threshold at
 #: most: five standard deviations of 128 minima at a similarity of 0.8.
@@ -126,6 +128,8 @@ def _candidates(left: list[dict], right: list[dict], same: bool, band: int, thre
 
     band: the last of the ``depth`` bands that the members share; a pair that shares others before it was met there.
     """
+    if not left or not right:  # no member was dealt to a block
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
     ls = np.frombuffer(b"".join(x["sig"] for x in left), np.uint8).reshape(len(left), -1)
     rs = ls if same else np.frombuffer(b"".join(x["sig"] for x in right), np.uint8).reshape(len(right), -1)
     lm = np.frombuffer(b"".join(x["marks"] for x in left), np.int64).reshape(len(left), -1)
@@ -298,8 +302,8 @@ def _components(documents: DataFrame, percent: int, k: int, hashes: int, rows: i
         at = others.join(comps, others["key"] == comps["node"], "left").select("key", *bucket, F.coalesce("comp", "key").alias("comp"))
         mixed = at.groupBy(*bucket).agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b").select(*bucket, "size")
         rest = save(at.join(mixed, bucket), "rest")
-        pieces.append(rest.where(F.col("size") <= BLOCK) if depth < DEPTH else rest)
-        large = rest.where(F.col("size") > BLOCK)
+        pieces.append(rest.where(F.col("size") <= DIVIDE) if depth < DEPTH else rest)
+        large = rest.where(F.col("size") > DIVIDE)
         if depth == DEPTH or large.isEmpty():
             break
         # a large bucket's members by each later band that they have, but for the pivot

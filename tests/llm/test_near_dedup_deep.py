@@ -48,10 +48,11 @@ def test_recall_of_signatures_and_bands():
     assert banded == trials and deep >= trials - 1 and admitted == trials
 
 
-@pytest.mark.parametrize("block", [2, 512])
-def test_pairs_without_a_pivot(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, divide", [(2, 2), (2, 512)])
+def test_pairs_without_a_pivot(spark, monkeypatch, block, divide):
     """Thousands of shared words put all texts into the same buckets; only pairs of texts are linked."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "DIVIDE", divide)
     common = " ".join(f"c{i}" for i in range(300))
     rows = [(i, f"{common} {t}") for i, t in similar_pairs(5, 12, 260, 36)]
     own = [sets(t) for _, t in rows]
