@@ -23,6 +23,7 @@ class EvalParams:
     judged_only: bool = False  #: drop documents without a judgment and rank again
     complete: bool = False  #: average over all judged queries, those without a result counting 0
     n_docs: int = 0  #: documents in the collection, for utility
+    query: str | None = None  #: evaluate this query only
     gains: dict[int, float] = field(default_factory=dict)  #: gains by level, where they aren't the level itself
 
     def gain(self, rel: Column) -> Column:
@@ -32,6 +33,11 @@ class EvalParams:
             out = F.when(rel == level, float(value)).otherwise(out)
         return F.when(rel < 0, 0.0).otherwise(out)
 
+    def listed(self, most: Column) -> list[Column]:
+        """The greatest gain of levels up to ``most`` that aren't overridden, and all that are given, documents or none."""
+        plain = [F.when((most - i < 0) | (most - i).isin(*self.gains), 0.0).otherwise((most - i).cast("double")) for i in range(len(self.gains) + 1)] if self.gains else []
+        return [F.lit(0.0), *plain, *[F.lit(float(x)) for x in self.gains.values()]]
+
 
 def judge(run: DataFrame, qrels: DataFrame, p: EvalParams, *groups: str) -> DataFrame:
     """qid, docno, rank, rel (and the groups' columns) of queries that have a run and judgments.
@@ -62,8 +68,8 @@ def topics(run: DataFrame, qrels: DataFrame, p: EvalParams, *groups: str) -> Dat
         F.count_if(F.col("rel") >= p.level).alias("n_rel"),
         F.count_if((F.col("rel") >= 0) & (F.col("rel") < p.level)).alias("n_nonrel"),
         F.count_if(gain > 0).alias("n_gain"),
-        F.greatest(F.max(gain), F.lit(0.0)).alias("max_gain"),
-        F.least(F.min(gain), F.lit(0.0)).alias("min_gain"),
+        F.greatest(F.max(gain), *p.listed(F.greatest(F.max("rel"), F.lit(0)))).alias("max_gain"),
+        F.least(F.min(gain), F.lit(0.0), *[F.lit(float(x)) for x in p.gains.values()]).alias("min_gain"),
         F.sum(F.greatest(gain, F.lit(0.0))).alias("ideal_sum"),
         F.count_if(F.col("rel") > 0).alias("any_rel"),
     )

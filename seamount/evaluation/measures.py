@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +34,8 @@ class Measure:
     defaults: tuple
     columns: Callable[..., dict[str, Column]]
     doc: str
+    gains: tuple[tuple[int, float], ...] = ()  #: gains by level that were asked for with the measure
+    suffix: str = ""  #: pairs as they were asked for, behind the name of its column
 
 
 REGISTRY: dict[str, Measure] = {}
@@ -99,6 +101,12 @@ def _hits(k: int | Column) -> Column:
     return _when(row.rank <= k, row.hit)
 
 
+@measure("runid", "run", NONE)
+def _runid(p):
+    """The run's name, in summaries only."""
+    return {}
+
+
 @measure("num_q", summary=SUM)
 def _num_q(p):
     """Queries."""
@@ -402,15 +410,33 @@ def _rprec_avgjg(p, *multiples):
 
 
 SETS = {
-    "official": "num_q num_ret num_rel num_rel_ret map gm_map Rprec bpref recip_rank iprec_at_recall P".split(),
-    "set": "num_q num_ret num_rel num_rel_ret utility set_P set_relative_P set_recall set_map set_F".split(),
+    "official": "runid num_q num_ret num_rel num_rel_ret map gm_map Rprec bpref recip_rank iprec_at_recall P".split(),
+    "set": "runid num_q num_ret num_rel num_rel_ret utility set_P set_relative_P set_recall set_map set_F".split(),
+    "all_trec": (
+        "runid num_q num_ret num_rel num_rel_ret map gm_map Rprec bpref recip_rank iprec_at_recall P relstring recall unj rbp rbp_resid infAP gm_bpref utility 11pt_avg ndcg relative_P Rprec_mult success "
+        "map_cut ndcg_cut ndcg_rel Rndcg binG G set_P set_recall set_relative_P set_map set_F num_nonrel_judged_ret"
+    ).split(),
     "groups": "map_avgjg P_avgjg Rprec_mult_avgjg".split(),
+    "qrels_jg": "runid num_q map_avgjg P_avgjg Rprec_mult_avgjg".split(),
 }
-SETS["all"] = [n for n, m in REGISTRY.items() if m.kind in ("counted", "gained")]
+SETS["all"] = [n for n, m in REGISTRY.items() if m.kind in ("counted", "gained", "run")]
+
+#: Measures that take gains by level as pairs ``level=gain``; rbp and rbp_resid take ``p=persistence`` too.
+PAIRED = ("rbp", "rbp_resid", "ndcg", "ndcg_rel", "Rndcg", "G", "dcg", "ideal_dcg")
+
+
+def _pairs(m: Measure, rest: str) -> tuple[Measure, tuple]:
+    """A measure with its gains by level, and its persistence; names that are neither a level nor p mean nothing."""
+    given = [x.split("=") for x in rest.split(",")]
+    if any(len(x) != 2 for x in given):
+        raise ValueError(f"{m.name} takes pairs name=value")
+    gains = {int(k): float(v) for k, v in reversed(given) if re.fullmatch(r"[-+]?\d+", k)}  # the first of a level counts
+    persistence = [float(v) for k, v in given if k == "p"]
+    return replace(m, gains=tuple(sorted(gains.items())), suffix=f"_{rest}"), tuple(persistence[-1:]) if m.defaults and persistence else m.defaults
 
 
 def parse(name: str) -> list[tuple[Measure, tuple]]:
-    """Measures and parameters of ``name``, ``name.v1,v2`` or a set's name. Cutoffs are sorted, positive and unique."""
+    """Measures and parameters of ``name``, ``name.v1,v2``, ``name.level=gain,level=gain`` or a set's name. Cutoffs are sorted, positive and unique."""
     head, _, rest = name.partition(".")
     if head in SETS and not rest:
         return [x for n in SETS[head] for x in parse(n)]
@@ -419,6 +445,8 @@ def parse(name: str) -> list[tuple[Measure, tuple]]:
     m = REGISTRY[head]
     if not rest:
         return [(m, m.defaults)]
+    if head in PAIRED and "=" in rest:
+        return [_pairs(m, rest)]
     if not m.defaults:
         raise ValueError(f"{head} has no parameters")
     if all(isinstance(x, int) for x in m.defaults):
@@ -437,7 +465,7 @@ def parse(name: str) -> list[tuple[Measure, tuple]]:
 
 
 def columns(asked: list[tuple[Measure, tuple]], kind: str, p: EvalParams) -> dict[str, Column]:
-    return {k: c for m, values in asked if m.kind == kind for k, c in m.columns(p, *values).items()}
+    return {k + m.suffix: c for m, values in asked if m.kind == kind for k, c in m.columns(p, *values).items()}
 
 
 def help_text(names: list[str] | None = None) -> str:
@@ -456,10 +484,17 @@ def wide(run: DataFrame, qrels: DataFrame, names: list[str], p: EvalParams) -> D
     The judged ranking is made once; every measure is an aggregate of it, of the ranking beside the ideal one, or both.
     """
     asked = [x for n in names for x in parse(n)]
+    ranked = J.judge(run, qrels, p)
+    out = J.topics(run, qrels, p).where("in_run").select("qid")
+    for gains in dict.fromkeys(m.gains for m, _ in asked):
+        out = _with_gains(out, ranked, run, qrels, [x for x in asked if x[0].gains == gains], replace(p, gains={**p.gains, **dict(gains)}))
+    return out
+
+
+def _with_gains(out: DataFrame, ranked: DataFrame, run: DataFrame, qrels: DataFrame, asked: list[tuple[Measure, tuple]], p: EvalParams) -> DataFrame:
+    """Adds the measures that share one table of gains."""
     facts = J.topics(run, qrels, p)
     here = facts.where("in_run")
-    ranked = J.judge(run, qrels, p)
-    out = here.select("qid")
     if by := columns(asked, "counted", p):
         own = J.counted(ranked, here.drop("in_run"), p).groupBy("qid").agg(*[c.alias(k) for k, c in by.items()])
         # with judged documents only, a query may have none left

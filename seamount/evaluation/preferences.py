@@ -206,12 +206,16 @@ for _name, _summary, _doc in (
     _registered(_name, _summary, _doc)
 
 NAMES = [n for n, m in M.REGISTRY.items() if m.kind == "prefs"]
-M.SETS["prefs"] = NAMES
+M.SETS["prefs"] = ["runid", "num_q", *NAMES[:6]]  # counts, prefs_simp, prefs_pair and prefs_avgjg
+M.SETS["all_prefs"] = ["runid", "num_q", *NAMES]
 
 
 def evaluate(run: DataFrame, prefs: DataFrame, p: EvalParams = EvalParams()) -> tuple[DataFrame, DataFrame]:
-    """(values by query, summary), both (measure, qid, value)."""
-    from .summary import longer, summarize
+    """(values by query, summary), both (measure, qid, value). ValueError if no query has both a run and preferences."""
+    from .summary import common, longer, summarize
 
+    if p.query is not None:
+        run = run.where(F.col("qid") == p.query)
+    common(run, prefs)
     values = longer(wide(run, prefs, p))
     return values.select("measure", "qid", "value"), summarize(values, NAMES, p, kinds={n: M.REGISTRY[n].summary for n in NAMES})

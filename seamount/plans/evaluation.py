@@ -129,6 +129,13 @@ for _name, _p, _sql in (
 QUERIES["eval_gains"] = _wide(["ndcg", "dcg"], EvalParams(gains={1: 0.5, 2: 4.0}))
 SQL["eval_gains"] = f"WITH {judged_sql(gains='(CASE rel WHEN 1 THEN 0.5 WHEN 2 THEN 4.0 ELSE rel END)::DOUBLE')} {_select({'ndcg': NDCG, 'dcg': 'max_by(dcg, rank)'}, 'g')}"
 
+# Gains that are asked for with a measure, beside the measure without them
+QUERIES["eval_gain_pairs"] = _wide(["ndcg.1=3,2=9", "ndcg", "ndcg_rel.1=3,2=9"])
+_NINE = judged_sql(gains="(CASE rel WHEN 1 THEN 3 WHEN 2 THEN 9 ELSE rel END)::DOUBLE")
+SQL["eval_gain_pairs"] = f"""SELECT a.qid, "ndcg_1=3,2=9", ndcg, "ndcg_rel_1=3,2=9" FROM
+(WITH {_NINE} {_select({'ndcg_1=3,2=9': NDCG, 'ndcg_rel_1=3,2=9': MEASURES['eval_ndcg_rel'][2]['ndcg_rel']}, 'g')}) a
+JOIN (WITH {judged_sql()} {_select({'ndcg': NDCG}, 'g')}) b ON a.qid = b.qid"""
+
 
 def _summary(names: list[str], p: EvalParams = EvalParams()) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,6 +158,22 @@ SQL["eval_complete"] = f"""WITH {judged_sql(_FEW)}, t AS (SELECT qid, {AP} AS ap
 a AS (SELECT q.qid, t.qid IS NOT NULL AS here, coalesce(ap, 0) AS ap, coalesce(num_ret, 0) AS num_ret FROM (SELECT DISTINCT qid FROM qrels) q LEFT JOIN t ON q.qid = t.qid)
 """ + " UNION ALL ".join(f"SELECT '{n}' AS measure, 'all' AS qid, round(({e})::DOUBLE, 6) + 0 AS value FROM a" for n, e in (("num_q", "count(*)"), ("num_ret", "sum(num_ret)"), ("num_rel", "max((SELECT count(*) FROM qrels WHERE rel > 0))"), ("map", "avg(ap)"), ("gm_map", "exp(avg(ln(greatest(ap, 1e-5))))")))
 
+#: The first query by id alone.
+_FIRST = X.EVENTS.replace("run AS", "every AS") + ", run AS (SELECT * FROM every WHERE qid = (SELECT min(e.qid) FROM every e WHERE e.qid IN (SELECT qid FROM qrels)))"
+
+
+def eval_one_query(spark: SparkSession, sf: str) -> DataFrame:
+    run, qrels = X.run(spark, sf), X.judgments(spark, sf)
+    first = run.join(qrels.select("qid").distinct(), "qid", "left_semi").agg(F.min("qid")).first()[0]
+    return rounded(U.evaluate(run, qrels, ["num_q", "num_ret", "map"], EvalParams(query=first))[1])
+
+
+def eval_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a report in their order: the run's name, counts and relevant documents, by query and in all."""
+    run = X.run(spark, sf).withColumn("run_id", F.lit("events"))
+    lines = U.report_lines(run, X.judgments(spark, sf), ["runid", "num_q", "num_ret", "num_rel_ret", "relstring.5"], by_query=True)
+    return lines.withColumn("place", F.col("place").cast("bigint")).withColumn("part", F.col("part").cast("bigint"))
+
 
 def judged_rank(spark: SparkSession, sf: str) -> DataFrame:
     return J.judge(X.run(spark, sf), X.judgments(spark, sf), EvalParams()).select("qid", "docno", F.col("rank").cast("bigint").alias("rank"), F.col("rel").cast("bigint").alias("rel"))
@@ -178,7 +201,14 @@ def z_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(U.z_scores(values, z_reference(spark, sf)), 4)
 
 
-QUERIES |= {f.__name__: f for f in (judged_rank, run_explained, score_lines, z_reference, z_scores)}
+QUERIES |= {f.__name__: f for f in (eval_one_query, eval_report, judged_rank, run_explained, score_lines, z_reference, z_scores)}
+SQL["eval_one_query"] = f"""WITH {judged_sql(_FIRST)}, t AS (SELECT qid, {AP} AS ap, count(*) AS num_ret FROM c GROUP BY qid)
+""" + " UNION ALL ".join(f"SELECT '{n}' AS measure, 'all' AS qid, round(({e})::DOUBLE, 6) + 0 AS value FROM t" for n, e in (("num_q", "count(*)"), ("num_ret", "sum(num_ret)"), ("map", "avg(ap)")))
+SQL["eval_report"] = f"""WITH {judged_sql()}, t AS (SELECT qid, count(*) AS n, sum(hit) AS r,
+  string_agg(CASE WHEN rank <= 5 THEN CASE WHEN rel = -1 THEN '-' WHEN rel = -2 THEN '.' ELSE rel::VARCHAR END END, '' ORDER BY rank) AS s FROM c GROUP BY qid),
+l AS (SELECT 0 AS part, qid, 2 AS place, 'num_ret' AS m, n::VARCHAR AS v FROM t UNION ALL SELECT 0, qid, 3, 'num_rel_ret', r::BIGINT::VARCHAR FROM t UNION ALL SELECT 0, qid, 4, 'relstring_5', chr(39) || s || chr(39) FROM t
+UNION ALL SELECT 1, 'all', 0, 'runid', 'events' UNION ALL SELECT 1, 'all', 1, 'num_q', count(*)::VARCHAR FROM t UNION ALL SELECT 1, 'all', 2, 'num_ret', sum(n)::BIGINT::VARCHAR FROM t UNION ALL SELECT 1, 'all', 3, 'num_rel_ret', sum(r)::BIGINT::VARCHAR FROM t)
+SELECT part::BIGINT AS part, qid, place::BIGINT AS place, rpad(m, 22, ' ') || chr(9) || qid || chr(9) || v AS line FROM l"""
 SQL["judged_rank"] = f"WITH {judged_sql()} SELECT qid, docno, rank, rel FROM ranked"
 SQL["run_explained"] = f"WITH {judged_sql()} SELECT qid, rank, docno, rel, round(CASE WHEN hit = 1 THEN cr::DOUBLE / rank END, 6) AS precision, round(CASE WHEN hit = 1 THEN cr::DOUBLE / n_rel END, 6) AS recall FROM c"
 SQL["score_lines"] = f"""WITH {judged_sql()}, t AS (SELECT qid, count(*) AS n, {MEASURES['eval_rprec'][2]['Rprec']} AS r FROM c GROUP BY qid),

@@ -49,6 +49,35 @@ def test_summaries(data):
     assert got["gm_map"] == pytest.approx(math.sqrt(0.3 * 1e-5))
 
 
+def test_gain_pairs(data):
+    names = ["ndcg.1=3,2=9", "ndcg", "rbp.p=0.8,2=0.5", "rbp.p=.8,5=10", "map"]
+    r = M.wide(*data, names, EvalParams()).collect()[0].asDict()
+    assert r["ndcg_1=3,2=9"] == pytest.approx((3 / math.log2(3) + 9 / math.log2(6)) / (9 + 3 / math.log2(3) + 3 / 2))
+    assert r["ndcg"] == pytest.approx((1 / math.log2(3) + 2 / math.log2(6)) / (2 + 1 / math.log2(3) + 1 / 2))
+    assert r["rbp_p=0.8,2=0.5"] == pytest.approx(0.2 * (1 * 0.8 + 0.5 * 0.8**4))
+    assert r["rbp_p=.8,5=10"] == pytest.approx(0.2 * (0.1 * 0.8 + 0.2 * 0.8**4))  # scaled by a level without documents
+    assert r["map"] == pytest.approx(0.3)
+    with pytest.raises(ValueError):
+        M.parse("ndcg.1=3,2")
+
+
+def test_report(data):
+    got = [x.line.split("\t") for x in U.report_lines(*data, ["runid", "num_q", "num_ret", "utility.2,-1,0,0", "relstring"], by_query=True).orderBy("part", "qid", "place").collect()]
+    assert [(a.strip(), b, c) for a, b, c in got] == [
+        ("num_ret", "1", "6"), ("utility_2,-1,0,0", "1", "0.0000"), ("relstring", "1", "'.10-2-'"),
+        ("runid", "all", "r"), ("num_q", "all", "1"), ("num_ret", "all", "6"), ("utility_2,-1,0,0", "all", "0.0000"),
+    ]
+
+
+def test_one_query(data):
+    run = data[0].union(data[0].where("qid = '1'").selectExpr("'3'", "docno", "sim", "run_id"))
+    assert {r.measure: r.value for r in U.evaluate(run, data[1], ["num_q", "map"])[1].collect()}["num_q"] == 2
+    assert {r.measure: r.value for r in U.evaluate(run, data[1], ["num_q", "map"], EvalParams(query="1"))[1].collect()} == {"num_q": 1, "map": pytest.approx(0.3)}
+    for function in (U.evaluate, U.evaluate_groups):
+        with pytest.raises(ValueError):
+            function(run, data[1].selectExpr("qid", "'0' jg", "docno", "rel"), ["map"] if function is U.evaluate else ["map_avgjg"], EvalParams(query="2"))
+
+
 def test_no_common_query(spark, data):
     with pytest.raises(ValueError):
         U.require_common(U.evaluate(data[0].where("qid = '2'"), data[1], ["map"])[0])
