@@ -65,18 +65,115 @@ def lemmas(words: Column | str) -> Column:
     return F.transform(_col(words), lemma)
 
 
-_VOWEL = "[aeiouy]"
+# The published suffix stripper. Suffixes and what takes their place, longer ones first where one ends another.
+STEP_2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("ousli", "ous"), ("eli", "e"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+_RUN, _VOWELS = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"  # of consonants, of vowels; a first y is written Y
+MEASURE_0 = f"^(?:{_RUN})?{_VOWELS}{_RUN}"  #: more than 0 runs of vowels and consonants
+MEASURE_1 = f"{MEASURE_0}{_VOWELS}{_RUN}"  #: more than 1
+EXACTLY_1 = f"{MEASURE_0}(?:{_VOWELS})?$"
+HAS_VOWEL = f"^(?:{_RUN})?[aeiouy]"
+SHORT = f"^{_RUN}[aeiouy][^aeiouwxy]$"  #: consonants, a vowel, a consonant
+
+
+def _less(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
+
+
+def _replaced(w: Column, rules, measure: str) -> Column:
+    """The first suffix that a word has gives way if the rest has the measure; no other is tried."""
+    out = None
+    for suffix, other in rules:
+        rest = _less(w, len(suffix))
+        value = F.when(rest.rlike(measure), F.concat(rest, F.lit(other))).otherwise(w)
+        out = F.when(w.endswith(suffix), value) if out is None else out.when(w.endswith(suffix), value)
+    return out.otherwise(w)
+
+
+def _plural(w: Column) -> Column:
+    w1 = F.when(w.startswith("y"), F.concat(F.lit("Y"), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)
+    return F.when(w.rlike("(?:ss|i)es$") & (F.length(w) > 3), _less(w1, 2)).when(w.rlike("[^s]s$"), _less(w1, 1)).otherwise(w1)
+
+
+def _past(w: Column) -> Column:
+    """-eed, -ed and -ing; a mark stands behind what was cut."""
+    cut = lambda n: F.when(_less(w, n).rlike(HAS_VOWEL), F.concat(_less(w, n), F.lit("\u0001"))).otherwise(w)
+    return F.when(w.endswith("eed"), F.when(_less(w, 3).rlike(MEASURE_0), _less(w, 1)).otherwise(w)).when(w.endswith("ed"), cut(2)).when(w.endswith("ing"), cut(3)).otherwise(w)
+
+
+def _mended(w: Column) -> Column:
+    c = _less(w, 1)
+    mended = F.when(c.rlike("(?:at|bl|iz)$") | c.rlike(SHORT), F.concat(c, F.lit("e"))).when(c.rlike(r"([^aeiouylsz])\1$"), _less(c, 1)).otherwise(c)
+    return F.when(w.endswith("\u0001"), mended).otherwise(w)
+
+
+def _last_y(w: Column) -> Column:
+    return F.when(w.endswith("y") & _less(w, 1).rlike(HAS_VOWEL), F.concat(_less(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _step_4(w: Column) -> Column:
+    out = None
+    for suffix in STEP_4:
+        rest = _less(w, len(suffix))
+        fits = rest.rlike(MEASURE_1) & rest.rlike("[st]$") if suffix == "ion" else rest.rlike(MEASURE_1)
+        value = F.when(fits, rest).otherwise(w)
+        out = F.when(w.endswith(suffix), value) if out is None else out.when(w.endswith(suffix), value)
+    return out.otherwise(w)
+
+
+def _last_e(w: Column) -> Column:
+    rest = _less(w, 1)
+    return F.when(w.endswith("e") & (rest.rlike(MEASURE_1) | (rest.rlike(EXACTLY_1) & ~rest.rlike(SHORT))), rest).otherwise(w)
+
+
+def _double_l(w: Column) -> Column:
+    return F.when(w.endswith("ll") & w.rlike(MEASURE_1), _less(w, 1)).otherwise(w)
+
+
+def stems(words: Column | str) -> Column:
+    """Lower-cased words by the published suffix stripper, all five steps; words of one or two letters stay.
+
+    A step is a pass over the words, so that each is an expression of a word and not of all steps before.
+    """
+    out = _col(words)
+    steps = (_plural, _past, _mended, _last_y, lambda w: _replaced(w, STEP_2, MEASURE_0), lambda w: _replaced(w, STEP_3, MEASURE_0), _step_4, _last_e, _double_l)
+    for step in steps:
+        out = F.transform(out, step)
+    return F.zip_with(_col(words), out, lambda w, x: F.when(F.length(w) > 2, F.regexp_replace(x, "^Y", "y")).otherwise(w))
 
 
 def stem(word: Column | str) -> Column:
-    """A light suffix stripper after the published steps 1a-1c: plurals, -ed and -ing, final y."""
-    w = F.regexp_replace(_col(word), "sses$", "ss")
-    w = F.regexp_replace(w, "ies$", "i")
-    w = F.regexp_replace(w, "([^s])s$", "$1")
-    cut = F.regexp_replace(F.regexp_replace(w, f"({_VOWEL}.*)ing$", "$1"), f"({_VOWEL}.*[^e])ed$", "$1")
-    mended = F.when(cut.rlike("(at|bl|iz)$"), F.concat(cut, F.lit("e"))).when(cut.rlike(r"([^aeioulsz])\1$"), F.regexp_replace(cut, r"(.)\1$", "$1")).otherwise(cut)
-    w = F.when(cut != w, mended).otherwise(w)
-    return F.regexp_replace(w, f"({_VOWEL}.*)y$", "$1i")
+    return stems(F.array(_col(word)))[0]
+
+
+def tagged_lemmas(tagged: Column | str) -> Column:
+    """Lemmas of an array of structs (word, tag): a noun's (tag N...) and a verb's by rule, other words as they are.
+
+    The tags come from any tagger; a word without one is left out.
+    """
+    def by_tag(x: Column) -> Column:
+        w = x["word"]
+        verb = F.when(w.rlike("[^aeiou]ies$|[^aeiou]ied$"), F.concat(_less(w, 3), F.lit("y"))).when(w.rlike("(?:ss|x|ch|sh|z)es$"), _less(w, 2)).when(w.rlike("[^s]s$") & (F.length(w) > 3), _less(w, 1))
+        verb = verb.when(w.rlike("[aeiouy].*ing$") | w.rlike("[aeiouy].*[^e]ed$"), _mended(F.concat(F.regexp_replace(w, "(?:ing|ed)$", ""), F.lit("\u0001")))).otherwise(w)
+        return F.when(x["tag"].startswith("N"), lemma(w)).when(x["tag"].startswith("V"), verb).otherwise(w)
+
+    return F.transform(F.filter(_col(tagged), lambda x: x["tag"].isNotNull() & (x["tag"] != "")), by_tag)
+
+
+def cleaned(text: Column | str) -> Column:
+    """Two arrays for each sentence: its alphabetic words that aren't stop words, then the pairs of neighbours of all its words."""
+    each = F.transform(sentences(text), lambda s: F.array(without_stop_words(alphabetic(tokens(s))), ngrams(tokens(s), 2)))
+    return F.flatten(each)
+
+
+def with_labels(text: Column | str, labels: Column | str) -> Column:
+    """A text with the labels of what was detected in its image behind it; null is empty."""
+    return F.concat_ws(" ", F.coalesce(_col(text), F.lit("")), F.array_join(F.coalesce(_col(labels), F.array().cast("array<string>")), " "))
 
 
 def entities(text: Column | str) -> Column:

@@ -28,6 +28,18 @@ def page(ranked: DataFrame, number: int, size: int = 15) -> DataFrame:
     return rows.select(*ranked.columns, F.lit(number > 1).alias("has_previous_page"), (F.col("total") > number * size).alias("has_next_page"), F.ceil(F.col("total") / size).alias("pages"))
 
 
+def page_links(number: Column, pages: Column, around: int = 5) -> Column:
+    """The page numbers that a page links to: ``around`` before and behind it, itself included, within 1..pages; none without pages."""
+    first, last = F.greatest(number - around, F.lit(1)), F.least(number + around, pages)
+    return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def fetchable(images: DataFrame, order: str, most: int | None = 1100) -> DataFrame:
+    """Of the first ``most`` images in the order of a column, those whose address can be fetched; None: of all."""
+    first = images if most is None else images.orderBy(order, "image_url").limit(most)
+    return first.where(F.col("image_url").startswith("http"))
+
+
 def minmax(scores: DataFrame, epsilon: float = 1e-9) -> DataFrame:
     """Adds normalized = (s - min) / (max - min + epsilon) over each query."""
     low, high = (f("score").over(Window.partitionBy("qid")) for f in (F.min, F.max))

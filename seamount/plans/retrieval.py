@@ -12,6 +12,7 @@ from seamount.operators import rank as R
 from seamount.operators import results as O
 from seamount.sources import collections as C
 from seamount.sources import files
+from seamount.sources import pages as page_parts
 from seamount.sources.shared import keep
 from seamount.streaming import activity as streams
 
@@ -72,9 +73,34 @@ def lemmatized(spark: SparkSession, sf: str) -> DataFrame:
     return X.documents(spark, sf).select("doc_id", *_digest(T.analyze("text", lemmatize=True)))
 
 
-@query(None)  # a back reference, which the SQL engine's patterns don't have; tested on words
+def _stem_sql() -> str:
+    """The steps of the stemmer as a chain of lists in DuckDB; doubled letters are compared, not matched, and a mark keeps short words."""
+    def chain(rules, measure, also=None):
+        return "CASE " + " ".join(f"WHEN ends_with(x, '{a}') THEN CASE WHEN regexp_matches(left(x, -{len(a)}), '{measure}'){also(a) if also else ''} THEN left(x, -{len(a)}) || '{b}' ELSE x END" for a, b in rules) + " ELSE x END"
+
+    cut = lambda a: f"WHEN ends_with(x, '{a}') THEN CASE WHEN regexp_matches(left(x, -{len(a)}), '{T.HAS_VOWEL}') THEN left(x, -{len(a)}) || chr(1) ELSE x END"
+    first = "CASE WHEN starts_with(x, 'y') THEN 'Y' || substr(x, 2) ELSE x END"
+    steps = (
+        f"CASE WHEN length(x) <= 2 THEN x || chr(2) WHEN regexp_matches(x, '(?:ss|i)es$') AND length(x) > 3 THEN left({first}, -2) WHEN regexp_matches(x, '[^s]s$') THEN left({first}, -1) ELSE {first} END",
+        f"CASE WHEN ends_with(x, 'eed') THEN CASE WHEN regexp_matches(left(x, -3), '{T.MEASURE_0}') THEN left(x, -1) ELSE x END {cut('ed')} {cut('ing')} ELSE x END",
+        f"CASE WHEN NOT ends_with(x, chr(1)) THEN x WHEN regexp_matches(left(x, -1), '(?:at|bl|iz)$') OR regexp_matches(left(x, -1), '{T.SHORT}') THEN left(x, -1) || 'e' "
+        "WHEN length(x) > 2 AND substr(x, -2, 1) = substr(x, -3, 1) AND NOT contains('aeiouylsz', substr(x, -2, 1)) THEN left(x, -2) ELSE left(x, -1) END",
+        f"CASE WHEN ends_with(x, 'y') AND regexp_matches(left(x, -1), '{T.HAS_VOWEL}') THEN left(x, -1) || 'i' ELSE x END",
+        chain(T.STEP_2, T.MEASURE_0),
+        chain(T.STEP_3, T.MEASURE_0),
+        chain([(a, "") for a in T.STEP_4], T.MEASURE_1, lambda a: " AND regexp_matches(left(x, -3), '[st]$')" if a == "ion" else ""),
+        f"CASE WHEN ends_with(x, 'e') AND (regexp_matches(left(x, -1), '{T.MEASURE_1}') OR regexp_matches(left(x, -1), '{T.EXACTLY_1}') AND NOT regexp_matches(left(x, -1), '{T.SHORT}')) THEN left(x, -1) ELSE x END",
+        f"CASE WHEN ends_with(x, 'll') AND regexp_matches(x, '{T.MEASURE_1}') THEN left(x, -1) ELSE x END",
+    )
+    out = "w"
+    for step in steps:
+        out = f"list_transform({out}, lambda x : {step})"
+    return f"list_transform({out}, lambda x : replace(CASE WHEN starts_with(x, 'Y') THEN 'y' || substr(x, 2) ELSE x END, chr(2), ''))"
+
+
+@query(f"SELECT doc_id, len(k)::BIGINT AS n, md5(array_to_string(k, ' ')) AS digest FROM (SELECT doc_id, {_stem_sql()} AS k FROM ({TOKENS}))")
 def stemmed(spark: SparkSession, sf: str) -> DataFrame:
-    return X.documents(spark, sf).select("doc_id", *_digest(F.transform(T.tokens("text"), T.stem)))
+    return X.documents(spark, sf).select("doc_id", *_digest(T.stems(T.tokens("text"))))
 
 
 @query(f"SELECT doc_id, len(k)::BIGINT AS n, md5(array_to_string(k, '|')) AS digest FROM (SELECT doc_id, list_transform(range(1, greatest(len(w), 1)), lambda i : w[i] || ' ' || w[i + 1]) AS k FROM ({TOKENS}))")
@@ -266,6 +292,16 @@ def page_window(spark: SparkSession, sf: str) -> DataFrame:
     return O.page(_top(_bm25(spark, sf), 100), 2, 15)
 
 
+@query("""SELECT user_id, n // 20 + 1 AS number, ceil(n / 20.0)::BIGINT AS pages, list_aggregate([x FOR x IN range(1, 1000) IF x BETWEEN n // 20 + 1 - 5 AND n // 20 + 1 + 5 AND x <= ceil(n / 20.0)], 'string_agg', ' ') AS links
+FROM (SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY user_id)""")
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages that the page with the last event of each user links to, 20 events to a page."""
+    n = C.table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    n = n.select("user_id", F.floor(F.col("n") / 20 + 1).cast("bigint").alias("number"), F.ceil(F.col("n") / 20).cast("bigint").alias("pages"))
+    links = O.page_links(F.col("number"), F.col("pages"))
+    return n.withColumn("links", F.nullif(F.array_join(links, " "), F.lit("")))
+
+
 @query(rf"""WITH {X.CORPUS}, {_top_sql(f'SELECT * FROM ({BM25}) WHERE score > 0')}, q AS (SELECT qid, list(term) AS t FROM terms GROUP BY qid),
 s AS (SELECT top.qid, top.doc_id, q.t, string_split(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), ' ') AS w FROM top JOIN documents d ON d.doc_id = top.doc_id JOIN q ON q.qid = top.qid),
 i AS (SELECT *, list_filter(range(1, len(w) + 1), lambda j : list_contains(t, lower(w[j])))[1] AS i FROM s)
@@ -361,6 +397,24 @@ def hex_colors(spark: SparkSession, sf: str) -> DataFrame:
     return images(spark, sf).select("image_url", T.hex_color(F.col("dominant_colors")[0]).alias("code"))
 
 
+_FIGURE = "'<h1 id=\"firstHeading\"> Page ' || page_id || '</h1><div id=\"bodyContent\"><p>before ' || page_id || '</p><figure><a href=\"/f\"><img src=\"/i/' || page_id || '.png\" alt=\"a&amp;b\"></a><figcaption> The ' || page_id || '</figcaption></figure><p>behind</p>'"
+
+
+@query(f"""SELECT url AS page_url, 'Page ' || page_id AS page_title, regexp_extract(url, '^([a-z]+://[^/]*)', 1) || '/i/' || page_id || '.png' AS image_url, 'a&b' AS alt_text, 'before ' || page_id || ' behind' AS surrounding_text, 'The ' || page_id AS caption,
+contains(html, '<p>') AS long FROM pages""")
+def page_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The image of a figure that is put before each page's own markup, in the element that holds an article."""
+    pages = C.table(spark, sf, "pages").select("url", F.concat(F.expr(_FIGURE), F.coalesce("html", F.lit("")), F.lit("</div>")).alias("html"))
+    found = page_parts.page_images(pages)
+    return found.select("page_url", "page_title", "image_url", "alt_text", "surrounding_text", "caption", (F.length("body_text") > 40).alias("long"))
+
+
+@query(f"SELECT image_url, len(k)::BIGINT AS n, md5(array_to_string(k, ' ')) AS digest FROM (WITH {IMAGES} SELECT image_url, regexp_extract_all(lower(image_url || ' ' || array_to_string(objects, ' ')), '[\\p{{L}}\\p{{N}}]+') AS k FROM img)")
+def labelled_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of texts with the labels of what was detected in the image."""
+    return images(spark, sf).select("image_url", *_digest(T.tokens(T.with_labels("image_url", "detected_objects"))))
+
+
 @query("SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id")
 def last_written(spark: SparkSession, sf: str) -> DataFrame:
     return O.last_by(C.table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_type", "value")

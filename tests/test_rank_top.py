@@ -6,6 +6,7 @@ from seamount.functions import text as T
 from seamount.operators import graph
 from seamount.operators import index as I
 from seamount.operators import rank as R
+from seamount.operators import results as O
 from seamount.sources.files import score_lines
 
 
@@ -39,3 +40,11 @@ def test_dots_in_addresses(spark):
 def test_long_names_of_measures_stay_whole(spark):
     rows = spark.createDataFrame([("prefs_num_prefs_ful_ret", "all", 3.0), ("map", "all", 0.25)], "measure string, qid string, value double")
     assert [r.line for r in score_lines(rows).collect()] == ["prefs_num_prefs_ful_ret\tall\t3", "map" + " " * 19 + "\tall\t0.2500"]
+
+
+def test_page_links_and_fetchable(spark):
+    rows = spark.createDataFrame([(1, 3), (8, 30), (30, 30), (1, 0)], "n bigint, p bigint")
+    assert [r.x for r in rows.select(O.page_links(F.col("n"), F.col("p")).alias("x")).collect()] == [[1, 2, 3], list(range(3, 14)), list(range(25, 31)), []]
+    images = spark.createDataFrame([("http://b", 2), ("ftp://a", 1), (None, 3), ("https://c", 4)], "image_url string, place bigint")
+    assert {r.image_url for r in O.fetchable(images, "place").collect()} == {"http://b", "https://c"}
+    assert [r.image_url for r in O.fetchable(images, "place", 2).collect()] == ["http://b"]
