@@ -217,60 +217,3 @@ def vector_neighbours(words: DataFrame, vocabulary: DataFrame, least: float = 0.
     both = d.crossJoin(I.small(q)).where("word <> synonym").select("word", "synonym", (F.round(F.try_divide(dot, F.col("qn") * F.col("dn")), 4) + 0.0).alias("cosine"))
     order = Window.partitionBy("word").orderBy(F.desc("cosine"), "synonym")
     return both.where(F.col("cosine") > least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-#: Terms of the reduced space: the vocabulary's most frequent ones, a parameter of the model.
-LSA_TERMS = 2000
-
-
-def lsa_ranked(rows: DataFrame, terms: DataFrame, k: int = 100, most: int = LSA_TERMS) -> DataFrame:
-    """qid, doc_id, score > 0: like :func:`evsm`, with rows and queries projected on the first k singular vectors.
-
-    The vectors are those of the terms' Gram matrix, which is aggregated over all rows and is at most ``most`` wide; only
-    that matrix comes to the driver. Its signs don't matter to a cosine.
-    """
-    import numpy as np
-
-    n = rows.agg(F.count("*").alias("n"))
-    w = tfidf(rows, n)
-    tdw = discrimination(w, n)
-    df = w.groupBy("term").agg(F.count("*").alias("df"))
-    numbered = df.orderBy(F.desc("df"), "term").limit(most).withColumn("i", F.row_number().over(Window.partitionBy().orderBy(F.desc("df"), "term")) - 1).select("term", "i")  # at most `most` rows
-    vectors = w.join(tdw, "term").join(F.broadcast(numbered), "term").groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("w") * F.col("tdw")).alias("w")))).alias("v"))
-    size = numbered.count()
-
-    def gram(batches):
-        import pandas as pd
-
-        total = np.zeros((size, size), np.float64)
-        for pdf in batches:
-            for v in pdf["v"]:
-                i, x = np.array([e["i"] for e in v], int), np.array([e["w"] for e in v])
-                total[np.ix_(i, i)] += np.outer(x, x)
-        i, j = np.nonzero(total)
-        for at in range(0, len(i), 1 << 18):
-            a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-            yield pd.DataFrame({"i": a, "j": b, "s": total[a, b]})
-
-    cells = vectors.select("v").mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
-    g = np.zeros((size, size))
-    g[cells["i"], cells["j"]] = cells["s"]
-    _, axes = np.linalg.eigh((g + g.T) / 2)
-    axes = np.ascontiguousarray(axes[:, ::-1][:, :k])
-
-    def projected(keys: list[str]):
-        def run(batches):
-            for pdf in batches:
-                out = pdf[keys].copy()
-                out["p"] = [(np.array([e["w"] for e in v]) @ axes[[e["i"] for e in v]]).tolist() if len(v) else [0.0] * axes.shape[1] for v in pdf["v"]]
-                yield out
-
-        return run
-
-    q = query_vectors(terms, df, n).join(tdw, "term").join(F.broadcast(numbered), "term").groupBy("qid").agg(F.collect_list(F.struct("i", (F.col("w") * F.col("tdw")).alias("w"))).alias("v"))
-    asked = q.mapInPandas(projected(["qid"]), f"qid {dict(terms.dtypes)['qid']}, p array<double>").select(F.col("qid").alias("word"), F.col("p").alias("q"))
-    found = vectors.mapInPandas(projected(["row_id", "doc_id"]), f"row_id string, doc_id {dict(rows.dtypes)['doc_id']}, p array<double>")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.try_divide(dot("q", "p"), F.sqrt(dot("q", "q")) * F.sqrt(dot("p", "p")))
-    best = found.crossJoin(I.small(asked)).select(F.col("word").alias("qid"), "doc_id", cosine.alias("s")).groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
-    return best.select("qid", "doc_id", F.round("s", 6).alias("score")).where("score > 0")

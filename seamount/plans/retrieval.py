@@ -10,6 +10,7 @@ from seamount.operators import activity, graph
 from seamount.operators import index as I
 from seamount.operators import rank as R
 from seamount.operators import results as O
+from seamount.operators.reduced import lsa_ranked
 from seamount.sources import collections as C
 from seamount.sources import files
 from seamount.sources import pages as page_parts
@@ -267,7 +268,7 @@ def evsm_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)  # singular vectors
 def lsa_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(R.lsa_ranked(R.sentence_rows(X.documents(spark, sf)), X.terms(spark, sf), k=20))
+    return _top(lsa_ranked(R.sentence_rows(X.documents(spark, sf)), X.terms(spark, sf)))
 
 
 # Results
