@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import lean, slices, texts
 
 TRAIN_DOCS = 2000
 FOLDS = 5
 THRESHOLD = 0.3
 STEPS, RATE, DECAY = 120, 0.15, 1e-3
 
+#: Features are made of so many text bytes at once: each takes some 25 bytes of work.
+SLICE = 1 << 20
+
 OWN = 17  #: features of a line by itself
 SIZE = 3 * OWN + 3
 
@@ -186,7 +189,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, limit=SLICE):
             x, _, counts = line_features(texts(batch))
             stops = np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([x[b - n : b].tobytes() for n, b in zip(counts, stops, strict=True)], pa.binary())], ["quality", "x"])
@@ -197,7 +200,7 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> t
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
     chosen = known.where(~held_out(F.col("doc_id"))).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("length(trim(text)) > 0").select("quality", "text")
-    found = rows.mapInArrow(_features, "quality int, x binary").toPandas().sort_values(["quality", "x"], ignore_index=True)
+    found = rows.mapInArrow(lean(_features), "quality int, x binary").toPandas().sort_values(["quality", "x"], ignore_index=True)
     return fit([np.frombuffer(b, np.float32).reshape(-1, SIZE) for b in found["x"]], [int(q) for q in found["quality"]])
 
 
@@ -207,10 +210,10 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(texts(batch), w, trans))], ["doc_id", "score"])
 
-    scored = documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+    scored = documents.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -220,7 +223,7 @@ def keep_good(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=SLICE):
                 yield batch.filter(pa.array(score_texts(texts(batch), w, trans) >= THRESHOLD))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ROW, bounded_broadcast, decisions, forget, row_names, save, slices, texts
+from .common import BROADCAST_ROWS, ROW, bounded_broadcast, decisions, forget, lean, row_names, save, slices, texts
 
 HASHES = 128
 ROWS = 4  #: minima in a band; HASHES / ROWS bands
@@ -109,7 +109,7 @@ def _signatures(hashes: int, rows: int, k: int, ids: list[str]):
                     [*ids, "key", "n_shingles", "sig", "bands", "marks"],
                 )
 
-    return run
+    return lean(run)
 
 
 def _sets(k: int):
@@ -120,7 +120,7 @@ def _sets(k: int):
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "items"])
 
-    return run
+    return lean(run)
 
 
 def _candidates(left: list[dict], right: list[dict], same: bool, band: int, threshold: float, depth: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,14 +168,15 @@ def _open(threshold: float):
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
+            for row in range(len(batch)):
+                (r,) = batch.slice(row, 1).to_pylist()  # members are many objects: one pair of blocks at once
                 left, right, same = _sides(r)
                 a, b, _ = _candidates(left, right, same, r["at"], threshold, r["depth"])
                 for x in [left[i] for i in set(a.tolist()) | (set(b.tolist()) if same else set())] + ([] if same else [right[i] for i in set(b.tolist())]):
                     out.append((r["band"], r["at"], r["depth"], r["i"], r["j"], x["key"], x["comp"], x["block"], x["sig"], x["marks"]))
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], k) for n, k in enumerate(kinds)], ["band", "at", "depth", "i", "j", "key", "comp", "block", "sig", "marks"])
 
-    return run
+    return lean(run)
 
 
 def _links(threshold: float, percent: int):
@@ -213,7 +214,7 @@ def _links(threshold: float, percent: int):
                         dst.append(y["key"])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
 
-    return run
+    return lean(run)
 
 
 def _sets_of(keys: DataFrame, documents: DataFrame, holders: DataFrame, k: int) -> DataFrame:
@@ -224,6 +225,7 @@ def _sets_of(keys: DataFrame, documents: DataFrame, holders: DataFrame, k: int)
     return texts_of.mapInArrow(_sets(k), "key binary, items binary").join(keys, "key", "left_semi").groupBy("key").agg(F.first("items").alias("items"))
 
 
+@lean
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "a", 16 << 20):
