@@ -121,8 +121,8 @@ def give_back() -> None:
         trim(0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, for mapInArrow, which gives back its memory whenever GIVE_BACK bytes have gone out, and at the end.
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int | None = GIVE_BACK) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for mapInArrow, which gives back its memory whenever ``every`` bytes have gone out (None: not before the end), and at the end.
 
     An executor's memory holds its JVM and all its workers, those at rest too.
     """
@@ -134,7 +134,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             for batch in run(batches):
                 sent += batch.nbytes
                 yield batch
-                if sent >= GIVE_BACK:
+                if every is not None and sent >= every:
                     del batch
                     give_back()
                     sent = 0

@@ -44,7 +44,7 @@ BLOCK = 1 << 16
 STEP = 128
 VERSION = 1
 #: Texts are encoded in slices of about so many bytes: longer ones hold fewer different pieces for their size.
-SLICE = 6 << 20
+SLICE = 8 << 20
 LIMIT = 20  #: longest code in bits; more only if the ids don't fit
 
 PLAIN = "part int, block bigint, at bigint, doc_no bigint, doc_ids array<bigint>, counts array<bigint>, piece int, pieces int, ids binary"
@@ -68,7 +68,6 @@ class Encoder:
     """
 
     KEEP = 300_000
-    AT_ONCE = 64
     MARKS = ".,#%*&$!|;:?)"
 
     def __init__(self, path: str):
@@ -102,9 +101,7 @@ class Encoder:
         return level and model.get("type", "BPE") == "BPE" and bare and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
 
     def _ids(self, strings: list[str]) -> list[np.ndarray]:
-        # an encoding holds much besides its ids: only those of a few strings at once
-        parts = (strings[i : i + self.AT_ONCE] for i in range(0, len(strings), self.AT_ONCE))
-        return [np.array(e.ids, self.kind) for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str], before: str, together: int = 100) -> Iterator[bytes]:
         """The ids of pieces with a space or line feed before each; many are encoded as one text and parted there."""
@@ -395,7 +392,7 @@ def _plain(path: str):
         if docs:
             yield batch_of(close())
 
-    return lean(run)
+    return lean(run, None)
 
 
 def _count(size: int, kind: str):
@@ -407,7 +404,7 @@ def _count(size: int, kind: str):
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    return lean(run)
+    return run
 
 
 def _code(lengths: np.ndarray, kind: str):
@@ -420,7 +417,7 @@ def _code(lengths: np.ndarray, kind: str):
                 packed = [pack(np.frombuffer(raw.as_buffer(), kind), codes, lengths) for raw in batch.column("ids")]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1))], [*batch.schema.names[:-1], "bits", "checkpoints"])
 
-    return lean(run)
+    return run
 
 
 def _read(lengths: np.ndarray, step: int):
@@ -437,7 +434,7 @@ def _read(lengths: np.ndarray, step: int):
                 kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
 
-    return lean(run)
+    return lean(run, None)
 
 
 def _join_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
